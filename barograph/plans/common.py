@@ -9,10 +9,15 @@ from barograph.operators.daily_features import price_features
 from barograph.sources import standins as st
 
 
-def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round every double column, so sums in another order compare equal."""
-    return df.select(*[F.round(f.name, special.get(f.name, digits)).alias(f.name)
-                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+# Prices are plain quotients and compare exactly; rounding them would only create ties.
+EXACT = {"open": None, "high": None, "low": None, "close": None}
+
+
+def rounded(df: DataFrame, digits: int = 6, **special: int | None) -> DataFrame:
+    """Round double columns, so sums in another order compare equal. ``None`` keeps a column as it is."""
+    places = {f.name: {**EXACT, **special}.get(f.name, digits) for f in df.schema.fields
+              if isinstance(f.dataType, T.DoubleType)}
+    return df.select(*[F.col(c) if places.get(c) is None else F.round(c, places[c]).alias(c) for c in df.columns])
 
 
 def features(spark, sf_dir: str, complete: bool = False) -> DataFrame:

@@ -59,13 +59,13 @@ def compare(spark, con, fn, sql: str | None, sf_dir: str) -> str:
     if got == want:
         return f"ok {len(got)} rows, spark {took:.1f}s, sql {duck_took:.1f}s"
     if len(got) != len(want):
-        return f"FAIL rows {len(got)} / {len(want)}\n   {[x for x in got if x not in set(want)][:2]}\n   {[x for x in want if x not in set(got)][:2]}"
+        return f"FAIL rows {len(got)} / {len(want)}\n   {str([x for x in got if x not in set(want)][:2])[:500]}\n   {str([x for x in want if x not in set(got)][:2])[:500]}"
     bad = {}
     for a, b in zip(got, want):
         for c, x, y in zip(cols, a, b):
             if x != y:
                 bad.setdefault(c, []).append((x, y))
-    return "FAIL values " + "; ".join(f"{c}: {len(v)} e.g. {v[:2]}" for c, v in bad.items())
+    return "FAIL values " + "; ".join(f"{c}: {len(v)} e.g. {str(v[:2])[:160]}" for c, v in bad.items())
 
 
 def main() -> int:
