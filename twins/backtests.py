@@ -99,8 +99,8 @@ TWINS = {
     "portfolio_summary": f"""{with_(PORT)} select count(*) as periods, {r('avg(portfolio_ret)', 4)} as mean_ret,
         {r('avg(bench_ret)', 4)} as mean_bench, {r('avg(portfolio_ret - bench_ret)', 4)} as mean_alpha,
         {r('avg(coalesce((portfolio_ret > bench_ret)::int, 0))', 4)} as win_rate,
-        {r('product(1 + portfolio_ret) filter (where bench_ret is not null) - 1', 4)} as compounded_ret,
-        {r('product(1 + bench_ret) - 1', 4)} as compounded_bench from port""",
+        {r('ln(product(1 + portfolio_ret) filter (where bench_ret is not null))', 4)} as compounded_ret,
+        {r('ln(product(1 + bench_ret))', 4)} as compounded_bench from port""",
     "topn_strategy_comparison": f"{with_(OUTC)} {_topn('final_score')} union all {_topn('pred_a')}",
     "ground_truth_precision": f"""{with_(RANKED)} select day, count(*) filter (where model <= 5 and truth <= 5) as hits,
         {r('avg(max_return) filter (where model <= 5 and ahead = 14)')} as mean_max_return,
