@@ -8,15 +8,17 @@ over (key, block) then give the same values as windows over the key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def number_rows(df: DataFrame, key: str = "symbol", ts: str = "ts", slice_unit: str = "day") -> DataFrame:
+def number_rows(df: DataFrame, key: str = "symbol", ts: str = "ts", slice_unit: str = "day",
+                slice_by: Column | None = None) -> DataFrame:
     """Row number per key in time order, without a window over the whole key. ``ts`` must be unique per key.
 
-    Only the slice counts (one row per key and slice) are windowed by key.
+    Only the slice counts (one row per key and slice) are windowed by key. ``slice_by`` replaces the time unit by any
+    expression that does not decrease along ``ts``.
     """
-    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts)))
+    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts)) if slice_by is None else slice_by)
     counts = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))

@@ -16,7 +16,8 @@ def _first(df: DataFrame, names: Sequence[str]) -> str | None:
 
 
 def _lag_minutes(now: Column, then: Column) -> Column:
-    return F.round((F.unix_micros(now) - F.unix_micros(then)) / 6e7, 2)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.round((micros(now) - micros(then)) / 6e7, 2)
 
 
 def table_health(tables: Mapping[str, DataFrame], now: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def table_health(tables: Mapping[str, DataFrame], now: DataFrame) -> DataFrame:
     out = None
     for name, df in tables.items():
         time = _first(df, TIME_COLUMNS)
-        latest = F.max(F.col(time).cast("timestamp")) if time else F.lit(None).cast("timestamp")
+        latest = F.max(F.col(time).cast("timestamp_ntz")) if time else F.lit(None).cast("timestamp_ntz")
         one = df.agg(F.lit(name).alias("table_name"), latest.alias("latest_time"), F.count(F.lit(1)).alias("row_count"))
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(now)).select(
@@ -36,7 +37,7 @@ def symbol_freshness(tables: Mapping[str, DataFrame], now: DataFrame) -> DataFra
     out = None
     for name, df in tables.items():
         key, time = _first(df, SYMBOL_COLUMNS), _first(df, TIME_COLUMNS)
-        one = df.groupBy(F.col(key).alias("symbol")).agg(F.max(F.col(time).cast("timestamp")).alias("latest_time"))
+        one = df.groupBy(F.col(key).alias("symbol")).agg(F.max(F.col(time).cast("timestamp_ntz")).alias("latest_time"))
         one = one.select(F.lit(name).alias("table_name"), "symbol", "latest_time")
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(now)).select(
@@ -62,7 +63,7 @@ def missing_symbol_incidents(tables: Mapping[str, DataFrame], limit: int | None
         key, time = _first(df, SYMBOL_COLUMNS), _first(df, TIME_COLUMNS)
         bad = df.where(F.col(key).isNull() | (F.trim(key) == "")).select(
             F.lit(name).alias("table_name"), F.lit("missing_symbol").alias("incident_type"),
-            F.lit("Missing or blank symbol detected.").alias("message"), F.col(time).cast("timestamp").alias("ts"))
+            F.lit("Missing or blank symbol detected.").alias("message"), F.col(time).cast("timestamp_ntz").alias("ts"))
         out = bad if out is None else out.unionByName(bad)
     return out.orderBy("table_name", "ts").limit(limit) if limit else out
 

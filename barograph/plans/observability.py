@@ -71,12 +71,14 @@ def request_readiness(spark, sf):
         F.count_if(F.col("o_orderstatus") == "P").alias("open_orders"), F.max("o_orderdate").alias("newest"))
     base = c.select(F.col("c_custkey").alias("request_id"), mode.alias("decision_mode"), "c_acctbal").join(orders, "request_id", "left")
     stale = F.coalesce(F.col("newest") < F.lit("2000-06-01").cast("timestamp"), F.lit(True))
+    section = lambda name, status, old, missing: F.struct(
+        F.lit(name).alias("section"), status.alias("status"), old.alias("is_stale"), missing.cast("bigint").alias("missing"))
+    good, none = F.lit("SUCCESS"), F.lit(0)
     rows = base.select("request_id", "decision_mode", F.inline(F.array(
-        F.struct(F.lit("market_features").alias("section"), F.when(F.col("newest").isNull(), "UNAVAILABLE").otherwise("SUCCESS")
-                 .alias("status"), stale.alias("is_stale"), F.coalesce("open_orders", F.lit(0)).alias("missing")),
-        F.struct(F.lit("risk_snapshot"), F.lit("SUCCESS"), stale, F.lit(0).cast("bigint")),
-        F.struct(F.lit("portfolio_snapshot"), F.when(F.col("c_acctbal") > 0, "SUCCESS").otherwise("PARTIAL"), F.lit(False),
-                 F.lit(0).cast("bigint")))))
+        section("market_features", F.when(F.col("newest").isNull(), "UNAVAILABLE").otherwise("SUCCESS"), stale,
+                F.coalesce("open_orders", none)),
+        section("risk_snapshot", good, stale, none),
+        section("portfolio_snapshot", F.when(F.col("c_acctbal") > 0, "SUCCESS").otherwise("PARTIAL"), F.lit(False), none))))
     return ob.readiness(rows)
 
 

@@ -27,7 +27,7 @@ TWINS = {
           {r('MACD_hist', 4)} as MACD_hist, {r('EMA20_slope', 4)} as EMA20_slope, close
         from (select scored.*, case when isnan(p) then null else p end as latest_polarity
               from scored left join senti using (symbol) where day = (select max(day) from scored where day <= date '2001-01-01'))""",
-    "valid_latest_rows": f"""{with_(PRED)} select symbol, day, close, {r('pred_a')} as pred_a, {r('risk_prob')} as risk_prob,
+    "valid_latest_rows": f"""{with_(PRED)} select upper(symbol) as symbol, day, close, {r('pred_a')} as pred_a, {r('risk_prob')} as risk_prob,
         {r('final_score')} as final_score, t as prediction_time from (
           select *, row_number() over (partition by symbol order by t desc, day desc) as k from (
             select *, day + (day(day) % 3)::int as t from scored) where close > 0) where k = 1""",
