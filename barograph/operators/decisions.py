@@ -26,6 +26,11 @@ def half_up(x: Column, digits: int = 2) -> Column:
     return F.round(x, digits)
 
 
+def _mean2(name: str) -> Column:
+    """Two digits of a mean; the noise of the summing order is removed first, so ties always go up."""
+    return F.round(F.round(name, 10), 2)
+
+
 def _present(items: Sequence[Column]) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -48,7 +53,7 @@ def market_rollup(rows: DataFrame) -> DataFrame:
         .alias("market_stance"),
         F.max(F.when(seen, F.greatest("probability_up", "probability_down"))).alias("ml_confidence"))
     return agg.select(
-        "request_id", F.coalesce(F.round("_c", 2), F.lit(0.0)).alias("market_confidence"), "market_stance", "ml_confidence",
+        "request_id", F.coalesce(_mean2("_c"), F.lit(0.0)).alias("market_confidence"), "market_stance", "ml_confidence",
         "missing_fields", F.when(F.col("_n") == 0, "ERROR").when(F.size("missing_fields") > 0, "DEGRADED")
         .otherwise("SUCCESS").alias("market_status"))
 
@@ -86,7 +91,7 @@ def sentiment_rollup(rows: DataFrame) -> DataFrame:
     agg = rows.groupBy("request_id").agg(
         F.count_if(seen).alias("_n"), F.avg(F.abs("sentiment_score")).alias("_s"), F.min("sentiment_label").alias("_a"),
         F.max("sentiment_label").alias("_b"), F.max("sentiment_stale").alias("_stale"), F.count_if(~seen).alias("_miss"))
-    conf = F.round(F.lit(0.5) + F.least(F.col("_s"), F.lit(1.0)) * 0.3, 2)
+    conf = F.round(F.round(F.lit(0.5) + F.least(F.col("_s"), F.lit(1.0)) * 0.3, 10), 2)
     stale = F.coalesce("_stale", F.lit(False))
     return agg.select(
         "request_id", F.when(F.col("_n") == 0, "UNAVAILABLE").when(F.col("_a") != F.col("_b"), "MIXED").otherwise(F.col("_a"))

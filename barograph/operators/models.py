@@ -32,8 +32,8 @@ def class_weights(train: DataFrame, label: str = "label_risk") -> DataFrame:
 
 
 def fit_risk(train: DataFrame, trees: int = 150, depth: int = 5, rate: float = 0.03) -> PipelineModel:
-    tree = GBTClassifier(featuresCol="_features", labelCol="label_risk", probabilityCol="_prob", rawPredictionCol="_raw",
-                         predictionCol="_class", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)
+    tree = GBTClassifier(featuresCol="_features", labelCol="label_risk", predictionCol="_class",
+                         weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=42)
     return Pipeline(stages=[_assembler(), tree]).fit(class_weights(train))
 
 
@@ -43,8 +43,8 @@ def score(features: DataFrame, upside: PipelineModel, risk: PipelineModel | None
     if risk is None:
         rows = rows.withColumn("risk_prob", F.lit(None).cast("double"))
     else:
-        rows = risk.transform(rows).withColumn("risk_prob", vector_to_array("_prob")[1]).drop(
-            "_features", "_prob", "_raw", "_class")
+        rows = risk.transform(rows).withColumn("risk_prob", vector_to_array("probability")[1]).drop(
+            "_features", "probability", "rawPrediction", "_class")
     return final_score(rows)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barograph.functions.ranks import spearman
 from barograph.operators import evaluation as ev, labels as lb, models as md
 from barograph.plans.common import features, predictions, rounded
+from barograph.session import materialized
 from barograph.sources import standins as st
 
 SPLIT = ("2000-06-30", "2000-07-01")
@@ -44,7 +45,7 @@ def training_set_split(spark, sf):
 
 
 def _fitted(spark, sf):
-    rows = _split_set(spark, sf)
+    rows = materialized(_split_set(spark, sf))
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     return md.fit_upside(train, trees=3, depth=4), md.fit_risk(train, trees=3, depth=4), test
 

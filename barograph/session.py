@@ -41,3 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="barograph-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialized(df):
+    """Rows written once to the shared checkpoint folder, for results that several jobs read (training, rounds)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -2,6 +2,12 @@ from twins.base import FULL, r, scored, with_
 from twins.context import FUND, SENT
 from twins.serving import POS
 
+
+def two(x: str) -> str:
+    """Half up on the shortest decimal form."""
+    return f"round(({x})::double::varchar::decimal(30,20), 2)::double"
+
+
 CTX = FULL + ", " + scored("feats") + """, ctx as (
   select * replace (pred_a * 5 as pred_a, least(1.0, risk_prob * 1.4) as risk_prob) from scored),
 sg0 as (
@@ -41,7 +47,7 @@ rows_ as (
     stale, part, valuation_label, valuation_quality
   from req join pos on account_id = request_id left join cur using (symbol) left join bs using (symbol) left join bv using (symbol)),
 mroll as (
-  select request_id, coalesce(round(avg(conf) filter (where hm), 2), 0) as market_confidence,
+  select request_id, coalesce(round(round(avg(conf) filter (where hm), 10)::decimal(18,10), 2)::double, 0) as market_confidence,
     arg_min(stance, (-conf, symbol)) filter (where hm) as market_stance,
     max(greatest(pu, 1 - pu)) as ml_confidence,
     coalesce(list(('market_features.' || symbol) order by symbol) filter (where not hm), []) as missing_fields,
@@ -72,7 +78,7 @@ sroll as (
     case when n = 0 then 'SKIPPED' when n < k or old then 'DEGRADED' else 'SUCCESS' end as sentiment_status
   from (select request_id, count(sentiment_label) as n, count(*) as k, count(distinct sentiment_label) as d,
       min(sentiment_label) as l, coalesce(bool_or(stale), false) as old,
-      round(0.5 + least(avg(abs(sentiment_score)), 1) * 0.3, 2) as c from rows_ group by 1)),
+      round(round(0.5 + least(avg(abs(sentiment_score)), 1) * 0.3, 10)::decimal(18,10), 2)::double as c from rows_ group by 1)),
 vroll as (
   select request_id, l as valuation_label, case when n = 0 then 0 when unk or l = 'UNKNOWN' then 0.35 when low then 0.45 else 0.58 end
       as valuation_confidence,
@@ -94,17 +100,16 @@ hits as (
 sq0 as (
   select request_id, coalesce(bool_or(stale), false) as stale_data,
     round((3 - coalesce(bool_or(stale), false)::int) / 3.0, 2)::double as freshness,
-    round((count(*) filter (where hm) + count(sentiment_label) + count(valuation_label)) / (3.0 * count(*)), 2)::double as completeness
+    """ + two("(count(*) filter (where hm) + count(sentiment_label) + count(valuation_label)) / (3 * count(*))") + """ as completeness
   from rows_ group by 1),
 sq1 as (
-  select sq0.*, coalesce(round(rel / n, 2), 0.5)::double as relevance, coalesce(round(trust / n, 2), 0.5)::double as reliability
+  select sq0.*, coalesce(""" + two("rel / n") + """, 0.5)::double as relevance, coalesce(""" + two("trust / n") + """, 0.5)::double as reliability
   from sq0 left join hits using (request_id)),
 sq2 as (
-  select *, round((0.35::double * freshness + 0.25::double * relevance + 0.25::double * completeness + 0.15::double * reliability)
-    ::decimal(18,6), 2)::double as quality from sq1),
+  select *, """ + two("0.35::double * freshness + 0.25::double * relevance + 0.25::double * completeness + 0.15::double * reliability") + """ as quality from sq1),
 sq as (
   select *, case when freshness < 0.6 or quality < 0.6 then 0.55 when quality < 0.7 then 0.65 else 0.9 end::double as quality_cap,
-    round(least(0, (quality - 1) * 0.2)::decimal(18,6), 2)::double as quality_adjustment,
+    """ + two("least(0, (quality - 1) * 0.2::double)") + """ as quality_adjustment,
     list_filter([case when stale_data then 'One or more tool results are stale.' end,
       case when relevance < 0.7 then 'Some source references do not directly mention requested symbols.' end,
       case when completeness < 0.7 then 'Optional or per-symbol tool context is incomplete.' end], lambda x: x is not null)
@@ -125,8 +130,7 @@ j2 as (
 j3 as (
   select *, case when len(conflicting_signals) = 0 then 'NONE' when risk_label in ('CRITICAL', 'HIGH') or len(conflicting_signals) >= 2
       then 'HIGH' when time_horizon = 'SHORT_TERM' then 'MEDIUM' else 'LOW' end as conflict_level,
-    round((0.3::double * market_confidence + 0.25::double * coalesce(ml_confidence, 0.5) + 0.2::double * coalesce(sentiment_confidence, 0.5)
-      + 0.15::double * coalesce(valuation_confidence, 0.5) + 0.1::double * quality)::decimal(18,10), 2)::double as base_confidence,
+    """ + two("0.3::double * market_confidence + 0.25::double * coalesce(ml_confidence, 0.5) + 0.2::double * coalesce(sentiment_confidence, 0.5) + 0.15::double * coalesce(valuation_confidence, 0.5) + 0.1::double * quality") + """ as base_confidence,
     case risk_label when 'LOW' then 0.02 when 'MEDIUM' then -0.04 when 'HIGH' then -0.12 else -0.25 end::double as risk_adjustment
   from j2),
 j4 as (
@@ -134,8 +138,7 @@ j4 as (
     case when conflict_level in ('MEDIUM', 'HIGH') then least(risk_cap, 0.7) else risk_cap end as applied_risk_cap,
     case when freshness < 0.6 then least(quality_cap, 0.55) else quality_cap end as applied_quality_cap from j3),
 decided as (
-  select *, round(least(round(greatest(0, least(1, base_confidence + risk_adjustment))::decimal(18,10), 2)::double, applied_risk_cap,
-    applied_quality_cap)::decimal(18,10), 2)::double as final_confidence from j4)"""
+  select *, """ + two("least(" + two("greatest(0, least(1, base_confidence + risk_adjustment))") + ", applied_risk_cap, applied_quality_cap)") + """ as final_confidence from j4)"""
 
 TWINS = {
     "symbol_signals": f"""{with_(CTX)} select symbol, day, pdir as predicted_direction, {r('pu')} as probability_up,
@@ -194,7 +197,7 @@ TWINS = {
           sum(market_value) over (partition by account_id) as mv from pos),
         a as (select account_id as portfolio_id, count(*) filter (where w < 0) as negative, count(*) filter (where w > 15) as over_weight,
           round(max(cash) / (max(mv) + max(cash)) * 100, 2) as c, sum(w) as s from h group by 1),
-        b as (select portfolio_id, negative, over_weight, 0::bigint as not_numeric, abs(s + c - 100) > 0.01 as total_off,
+        b as (select portfolio_id, negative, over_weight, 0::bigint as not_numeric, round(abs(s + c - 100), 6) >= 0.01 as total_off,
           c < 0.5 as cash_short from a)
         select *, negative = 0 and over_weight = 0 and not total_off and not cash_short as passed from b""",
     "forbidden_claim_scan": """select doc_id, list_filter(list_transform(['guaranteed profit', 'risk-free', 'certain return'],
