@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def build_session(app: str = "barograph", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC time and adaptive execution.
 
@@ -19,6 +22,9 @@ def build_session(app: str = "barograph", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Joins on top of the wide feature block make the optimizer derive constraints from hundreds of aliases, which
+        # can take longer than the query; nothing here depends on derived filters.
+        .config(CONSTRAINTS, "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
