@@ -76,7 +76,7 @@ def main() -> int:
     part = args.pop(args.index("-k") + 1) if "-k" in args else ""
     args = [a for a in args if a != "-k"]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", **{"spark.ui.showConsoleProgress": "false"})
+    spark = build_session(master="local[8]", **{"spark.ui.showConsoleProgress": "false", "spark.sql.constraintPropagation.enabled": "true"})  # as a plain session has it
     spark.sparkContext.setLogLevel("ERROR")
     con, twins, failed = duck(sf_dir), oracle_sql(), 0
     for name, fn in queries().items():
