@@ -74,7 +74,7 @@ def test_allocation_faults(spark):
 
 
 def test_tickers(spark):
-    text = ["Compare AAPL and MSFT using latest ORCA predictions", "what about it?", "I like BRK-B, THE best", "aXYZ 1ABC ABCDEF"]
+    text = ["Compare AAPL and MSFT using latest API predictions", "what about it?", "I like BRK-B, THE best", "aXYZ 1ABC ABCDEF"]
     rows = pf.message_tickers(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "conv_id int, turn int, text string"))
     got = {r.turn: (r.symbols, r.route) for r in rows.collect()}
     assert got[0] == (["AAPL", "MSFT"], "symbol_comparison") and got[1][0] == ["AAPL", "MSFT"]
