@@ -45,6 +45,42 @@ select doc_id, size::bigint as size, source_size, target, (copies * size)::bigin
 """
 
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OVERLAP = f"""
+with docs as (select row_number() over () as row, doc_id,
+                     regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+items as (select coalesce(item_id::varchar, '') as item,
+                 regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+cut as (select item, ws, unnest(range(greatest(1, len(ws) - 9))) as i from items where len(ws) > 0),
+strings as (select distinct item, least(10, len(ws)) as m, array_to_string(ws[i + 1 : i + 10], ' ') as s from cut),
+places as (select row, ws, m, unnest(range(len(ws) - m + 1)) as i
+           from docs, (select distinct m from strings) where len(ws) >= m),
+hits as (select row, i, m, item from (select row, i, m, array_to_string(ws[i + 1 : i + m], ' ') as s from places)
+         join strings using (m, s)),
+covered as (select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + m)) as p from hits) group by row),
+listed as (select row, count(*) as n_items, string_agg(item, ',' order by item) as names
+           from (select distinct row, item from hits) group by row)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (row) left join listed using (row)
+"""
+
+NEAR = f"""
+with recursive docs as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+cut as (select doc_id, ws, unnest(range(greatest(1, len(ws) - 1))) as i from docs where len(ws) > 0),
+shingles as (select distinct doc_id, array_to_string(ws[i + 1 : i + 2], ' ') as s from cut),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b using (s)
+           where a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+          where 100 * k >= 80 * (x.n + y.n - k)),
+reached(a, b) as (select doc_id, doc_id from docs union select reached.a, links.b from reached join links on reached.b = links.a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, low as component_id, doc_id = low as kept
+from docs left join sizes using (doc_id) join (select a as doc_id, min(b) as low from reached group by a) using (doc_id)
+"""
+
+
 def _licence_sql() -> str:
     names = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
     left, hits = "' ' || coalesce(string_agg(id, '  ' order by n), '') || ' '", []
@@ -76,4 +112,4 @@ from marked{last}
 """
 
 
-TWINS = {"op6_exact_dedup": EXACT, "op9_license_scan": _licence_sql(), "op10_mixing": MIX}
+TWINS = {"op4_decontamination": OVERLAP, "op5_near_dedup": NEAR, "op6_exact_dedup": EXACT, "op9_license_scan": _licence_sql(), "op10_mixing": MIX}
