@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barograph.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, sharding
+from barograph.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, sanitise, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
                                    op10_mixing)}
