@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barograph.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, sanitise, sharding
+from barograph.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, sanitise, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                         F.size("clauses").alias("n_clauses"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -39,5 +47,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
                                    op10_mixing)}
