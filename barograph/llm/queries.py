@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import decontaminate, exact_dedup, licenses, lm, mixing, near_dedup, sanitise, sharding, toxicity
+from barograph.llm import decontaminate, exact_dedup, html_text, licenses, lm, mixing, near_dedup, sanitise, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("clauses").alias("n_clauses"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm.scores(docs, lm.train(docs.where(~lm.held_out(F.col("doc_id"))).select("text")))
@@ -53,5 +58,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_lm_scoring, op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
                                    op10_mixing)}
