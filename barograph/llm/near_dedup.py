@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barograph.llm.graph import components
-from barograph.llm.staging import staged
+from barograph.llm.staging import sized, staged
 from barograph.llm.words import mixed, text_bytes, word_hashes
 
 BANDS, ROWS = 30, 5
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
                 [batch.column(0), pa.array([set_key(s) for s in sets], pa.binary()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["want", "node", "set"])
 
-    wanted = classes.select(F.col("rep").alias("doc_id"), F.col("node").alias("want"))
+    wanted = sized(staged(classes.select(F.col("rep").alias("doc_id"), F.col("node").alias("want")), "candidates"), F.lit(0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("want", "text")
     sets = texts.mapInArrow(cut, "want binary, node binary, set array<long>").where(F.col("want") == F.col("node"))
     return sets.groupBy("node").agg(F.first("set").alias("set"))
@@ -171,4 +171,5 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs that stay: one document of each component, all without a set."""
     dropped = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = sized(staged(dropped, "near-duplicates"), F.lit(0))
     return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barograph.llm.staging import staged
+from barograph.llm.staging import sized, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns. A match can only begin at the start of a run of its first class, or where the last match ended;
@@ -35,8 +35,6 @@ CONTEXT = 80
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}(?![\p{L}\p{N}@])"
 #: Thresholds of disclosure.
 LEAST_SHARE, LEAST_BITS, LEAST_TEXTS = 0.5, 3.0, 2
-#: Tables up to so many bytes are broadcast, larger ones are shuffled.
-BROADCAST_BYTES = 32 << 20
 
 
 def _luhn(digits: Column) -> Column:
@@ -130,19 +128,13 @@ def disclosing(docs: DataFrame, spans: DataFrame, least_share: float = LEAST_SHA
     return rated.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits))
 
 
-def _sized(table: DataFrame, width: Column) -> DataFrame:
-    """table, with a broadcast hint if its values take few bytes."""
-    taken = table.agg(F.sum(width + 64).alias("n")).first().n or 0
-    return F.broadcast(table) if taken <= BROADCAST_BYTES else table
-
-
 def term_spans(docs: DataFrame, spans: DataFrame, **thresholds: float) -> DataFrame:
     """Spans of disclosing terms in all documents: doc_id, text_key, kind, start, stop, match."""
     marked = staged(disclosing(docs, spans, **thresholds).select("term"), "disclosing-terms")
-    small = _sized(marked, F.octet_length("term"))
+    small = sized(marked, F.octet_length("term"))
     hits = keyed(docs).select("doc_id", "text_key", F.explode(terms(F.col("text"))).alias("term")).join(small, "term")
     hits = staged(hits.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms")), "disclosing-documents")
-    hits = _sized(hits.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k"),
+    hits = sized(hits.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k"),
                   F.octet_length(F.concat_ws(",", "terms")))
     rows = keyed(docs).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     # Longest first: a term that begins another one must not win.

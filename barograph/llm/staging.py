@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,5 +27,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables up to so many bytes are broadcast, larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, width: Column) -> DataFrame:
+    """A staged table, with a broadcast hint if its rows of the given width take few bytes in all."""
+    taken = table.agg(F.sum(width + 64).alias("n")).first().n or 0
+    return F.broadcast(table) if taken <= BROADCAST_BYTES else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
