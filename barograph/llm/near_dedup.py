@@ -5,9 +5,9 @@ gives two values, the minimum and the maximum, so a signature needs half the eva
 never both values of a permutation in one band. Documents with the same set are one class. Classes that share a band
 are candidates; a candidate link is confirmed on the full sets.
 
-Within a bucket not all pairs are emitted. A pivot is compared with all other members; members already connected need no
-comparison. Members left in smaller components become pivots of the next rounds, eight times as many each round, until
-every pair of a bucket is either compared or connected: the result is that of comparing all pairs.
+Within a bucket not all pairs are emitted. The member that meets most others, in all its buckets, is compared with all of
+them; members connected by then need no comparison. Those left outside a bucket's largest component find whatever they
+may be similar to by an exact prefix filter on the full sets, so the result is that of comparing all pairs of a bucket.
 
 With 30 bands of 5 values, a pair at similarity 0.8 shares a band with probability 1 - 7e-6, at 0.9 with 1 - 2e-12.
 
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from barograph.llm.graph import components
 from barograph.llm.staging import sized, staged
@@ -118,42 +117,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared.cast("long") >= LEAST * union.cast("long")).select("u", "v")
 
 
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(token, node, place, n): the tokens of each set that a similar set must share one of.
+
+    Two sets of sizes n and m are similar enough only if they share `shared` = LEAST / (100 + LEAST) of n + m, so they
+    have a common token among the first n - shared + 1 of the one and the first m - shared + 1 of the other, in any order
+    that holds for all sets. Rare tokens come first: by counters of hashed tokens, then by the token itself.
+    """
+    slots, spark = 1 << 18, sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(slots, np.int64)
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sums += np.bincount((tokens % np.uint64(slots)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(sums)
+        for k in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(sums[at[k : k + 50_000]])], names=["slot", "n"])
+
+    table = np.zeros(slots, np.int64)
+    counted = sets.select("node", "set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table[np.array(counted["slot"], dtype=np.int64)] = np.array(counted["n"], dtype=np.int64)  # `slots` rows at most
+    shared = spark.sparkContext.broadcast(table)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for node, listed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = listed.values.to_numpy().view(np.uint64)
+                first = np.lexsort((tokens, shared.value[(tokens % np.uint64(slots)).astype(np.int64)]))
+                first = first[: len(tokens) - -(-LEAST * len(tokens) // 100) + 1]
+                rows += [(t, node, k, len(tokens)) for k, t in enumerate(tokens[first].view(np.int64).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                 pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())],
+                names=["token", "node", "place", "n"])
+
+    return sets.select("node", "set").mapInArrow(cut, "token long, node binary, place int, n int")
+
+
+def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Candidate pairs (u, v) among members of buckets that are neither compared nor connected yet; None if there are none.
+
+    At least one of two unconnected members is outside the bucket's largest component. All of these meet, by the tokens
+    of their prefixes, every member that they may be similar to.
+    """
+    named = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    inside = named.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    span = inside.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("largest"))
+    left = named.join(span.where("roots > 1"), "bucket")
+    left = staged(left.groupBy("node").agg(F.first("root").alias("root"), F.max((F.col("root") != F.col("largest")).cast("int"))
+                                           .alias("outside")), "open-members")
+    if left.isEmpty():
+        return None
+    own = sets.join(sized(left, F.lit(0)), "node").select("node", "set")
+    index = staged(_prefixes(own).join(sized(left, F.lit(0)), "node"), "prefixes")
+    one = index.where("outside = 1").select("token", *[F.col(c).alias(f"{c}_1") for c in ("node", "place", "n", "root")])
+    pairs = one.join(index, "token").where(F.col("root_1") != F.col("root"))
+    common = F.ceil(LEAST * (F.col("n_1") + F.col("n")) / (100 + LEAST) - 1e-9)
+    pairs = pairs.where((F.col("place_1") <= F.col("n_1") - common) & (F.col("place") <= F.col("n") - common)
+                        & (100 * F.least("n_1", "n") >= LEAST * F.greatest("n_1", "n")))
+    return pairs.select(F.least("node_1", "node").alias("u"), F.greatest("node_1", "node").alias("v")).distinct()
+
+
 def classes_and_roots(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (node, root) of every class linked with a lesser one."""
     rows = staged(sketches(docs, size), "sketches")
     classes = rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select("node", "rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min("node").alias("pivot")).where("k > 1")
-    members = staged(members.join(shared.drop("k"), "bucket"), "buckets")
-    sets = staged(_sets(docs, members.groupBy("node").agg(F.first("rep").alias("rep")), size), "sets")
-    # Round 1: one pivot per bucket.
-    sizes = members.select("node", "n").distinct()
-    pairs = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("u"), F.col("node").alias("v"), "n").distinct()
-    pairs = pairs.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("m")), "u")
-    close = (100 * F.least("n", "m") >= LEAST * F.greatest("n", "m"))
-    links = staged(_confirmed(pairs.where(close).select("u", "v"), sets), "links")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    members = staged(members.join(shared, "bucket"), "buckets")
+    # The member that meets most others in all its buckets is nearest to the middle of a group of copies.
+    nodes = staged(members.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.sum("k").alias("met")), "met")
+    sets = staged(_sets(docs, nodes, size), "sets")
+    pivots = members.join(nodes.select("node", "met"), "node").groupBy("bucket").agg(
+        F.max(F.struct("met", "node", "n")).alias("pivot")).select("bucket", F.col("pivot.node").alias("u"), F.col("pivot.n").alias("m"))
+    members = staged(members.select("bucket", "node", "n").join(pivots, "bucket").where(F.col("node") != F.col("u")), "members")
+    close = 100 * F.least("n", "m") >= LEAST * F.greatest("n", "m")
+    links = staged(_confirmed(members.where(close).select("u", F.col("node").alias("v")).distinct(), sets), "links")
     roots = components(links)
-    members, width = members.where(F.col("node") != F.col("pivot")).select("bucket", "node", "n"), 8
-    while True:
-        named = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        span = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_members = named.join(span.where(F.col("low") != F.col("high")).select("bucket"), "bucket")
-        open_members = staged(open_members, "open-buckets")
-        if open_members.isEmpty():
-            return rows, roots
-        largest = open_members.groupBy("bucket", "root").count().groupBy("bucket").agg(
-            F.max(F.struct("count", "root"))["root"].alias("largest"))
-        outside = open_members.join(largest, "bucket").where(F.col("root") != F.col("largest"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        pivots = staged(outside.withColumn("place", place).where(F.col("place") <= width)
-                        .select("bucket", F.col("node").alias("u"), F.col("n").alias("m"), F.col("root").alias("p")), "pivots")
-        pairs = open_members.join(pivots, "bucket").where((F.col("root") != F.col("p")) & close)
-        pairs = pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        links = staged(links.union(_confirmed(pairs, sets)).distinct(), "links")
-        roots = components(links)
-        members = open_members.join(pivots.select("bucket", F.col("u").alias("node")), ["bucket", "node"], "left_anti")
-        members, width = members.select("bucket", "node", "n"), width * 8
+    rest = _rest(members.select("bucket", "node"), roots, sets)
+    return rows, roots if rest is None else components(links.union(_confirmed(rest, sets)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
