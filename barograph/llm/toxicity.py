@@ -263,7 +263,7 @@ def learn_lexicon(sample: DataFrame, least_evidence: float = 10.0, least_docs: i
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> ToxicityModel:
     sample = staged(sample_of_labels(docs, labels, max_rows), "labelled")
     words, stems = learn_lexicon(sample)
-    words = {w: 1.0 for w in (*INSULTS, *THREATS)} | words
+    words = {w: 3.0 for w in (*INSULTS, *THREATS)} | words
     grammar_of = (words, stems)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
