@@ -24,6 +24,7 @@ _S, _D, _L, _I, _TS = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerTyp
 _PRICE_JSON = (("Datetime", _S), ("Open", _D), ("High", _D), ("Low", _D), ("Close", _D), ("Volume", _L),
                ("Dividends", _D), ("Stock Splits", _D))
 
+# fixed values: fields of the messages
 MARKET_JSON = _fields(*_PRICE_JSON, ("Symbol", _S))
 INDICATOR_JSON = _fields(*_PRICE_JSON, ("Indicator", _S))
 NEWS_JSON = _fields(("category", _S), ("datetime", _L), ("headline", _S), ("id", _L), ("image", _S), ("related", _S),
@@ -60,16 +61,34 @@ PREDICTIONS = _fields(("day", T.DateType()), ("symbol", _S), ("model_version", _
                       ("pred_a", _D), ("risk_prob", _D), ("final_score", _D), ("feature_version", _S),
                       ("process_date", _TS))
 
+DAILY_BARS = _fields(("day", T.DateType()), ("symbol", _S), ("open", _D), ("high", _D), ("low", _D), ("close", _D), ("volume", _L))
+CURATED_PRICES = _fields(("day", T.DateType()), ("symbol", _S), ("open", _D), ("high", _D), ("low", _D), ("close", _D),
+                         ("adj_close", _D), ("volume", _L), ("dividends", _D), ("stock_splits", _D), ("daily_range", _D),
+                         ("close_position", _D), ("source", _S), ("etl_load", _TS), ("process_date", _TS))
+SENTIMENT = _fields(("as_of_date", T.DateType()), ("symbol", _S), ("sentiment_score", _D), ("sentiment_label", _S),
+                    ("article_count", _I), ("latest_article_published_at", _TS), ("oldest_article_published_at", _TS),
+                    ("sentiment_scored_at", _TS), ("stale_article_count", _I), ("top_drivers", T.ArrayType(_S)),
+                    ("source_refs", T.ArrayType(_S)), ("process_date", _TS))
+VALUATION = _fields(("as_of_date", T.DateType()), ("symbol", _S), ("valuation_label", _S), ("pe_ratio", _D),
+                    ("sector_pe_ratio", _D), ("fair_value_estimate", _D), ("upside_downside_pct", _D),
+                    ("valuation_method", _S), ("valuation_quality", _S), ("valuation_fetched_at", _TS),
+                    ("fundamentals_as_of", T.DateType()), ("sector_sample_count", _I), ("analyst_count", _D),
+                    ("source_refs", T.ArrayType(_S)), ("process_date", _TS))
+
 # One registry for every table: columns and partition column, so readers and writers agree on names.
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "bronze.market": (BRONZE_MARKET, ["day"]),
     "bronze.indicator": (BRONZE_INDICATOR, ["day"]),
     "bronze.news": (BRONZE_NEWS, ["day"]),
     "silver.market": (SILVER_MARKET, ["day"]),
+    "silver.daily_bars": (DAILY_BARS, ["day"]),
     "silver.indicator": (SILVER_INDICATOR, ["day"]),
     "silver.news": (SILVER_NEWS, ["day"]),
     "eod.prices": (EOD_PRICES, ["day"]),
+    "eod.curated": (CURATED_PRICES, ["day"]),
     "ml.features": (FEATURES, ["day"]),
     "ml.predictions": (PREDICTIONS, ["day"]),
+    "ml.sentiment": (SENTIMENT, ["as_of_date"]),
+    "ml.valuation": (VALUATION, ["as_of_date"]),
     "alert.market": (ALERTS, ["day"]),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,6 +28,14 @@ def ensure_tables(spark: SparkSession, base: str, names: Sequence[str] = tuple(T
     return paths
 
 
+def refresh_tables(spark: SparkSession, base: str, names: Sequence[str] = tuple(TABLES)) -> None:
+    """Catalog tables show the partitions that their folders have by now; call it after writes."""
+    for name in names:
+        if exists(spark, f"{base}/{name.replace('.', '/')}"):
+            spark.sql(f"ALTER TABLE {name.replace('.', '_')} RECOVER PARTITIONS")
+            spark.catalog.refreshTable(name.replace(".", "_"))
+
+
 def table_schema(name: str) -> T.StructType:
     schema, parts = TABLES[name]
     return T.StructType(list(schema.fields) + [T.StructField(p, T.DateType()) for p in parts if p not in schema.fieldNames()])
@@ -72,24 +81,59 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str], versi
 
 
 def upsert(updates: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], *, version: Sequence[str] = (),
-           part: str = "day") -> None:
-    """Keyed upsert into a partitioned parquet table.
+           part: str = "day", cleared: DataFrame | None = None) -> None:
+    """Keyed upsert into a partitioned parquet table; rows with a key of ``cleared`` go first (it has ``part``, too).
 
-    Only partitions that the updates touch are read and replaced. The merged rows are staged first, so the table is
-    never read and replaced in one job; running the same updates again gives the same table.
+    Only partitions that the updates touch are read and replaced. The merged rows are staged under an id of their own,
+    with the list of touched partitions written last; then they replace the partitions, and the stage goes. A stage that
+    is complete when the next upsert begins belongs to a run that broke off, and is replayed first. So the table is never
+    left without rows that it had, and running the same updates again gives the same table.
     """
     spark = updates.sparkSession
-    updates = conform(with_day(updates), schema)
-    days = updates.select(part).distinct()
-    target = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
-    merged = merge_rows(target.join(days, part, "left_semi"), updates, keys, version)
-    stage = f"{path.rstrip('/')}_stage"
-    merged.hint("rebalance", part).write.mode("overwrite").partitionBy(part).option(
-        "partitionOverwriteMode", "static").parquet(stage)
-    write_partitions(spark.read.schema(schema).parquet(stage), path, (part,))
+    replay_stages(spark, path, schema, part)
+    stage_upsert(updates, path, schema, keys, version=version, part=part, cleared=cleared)
+    replay_stages(spark, path, schema, part)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def stage_upsert(updates: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], *, version: Sequence[str] = (),
+                 part: str = "day", cleared: DataFrame | None = None) -> str:
+    """The first half of an upsert: merged rows and touched partitions as files."""
+    spark = updates.sparkSession
+    updates = conform(updates if part in updates.columns else with_day(updates), schema)
+    days = updates.select(part)
+    if cleared is not None:
+        days = days.unionByName(cleared.select(part))
+    days = days.distinct()
+    target = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    target = target.join(days, part, "left_semi")
+    if cleared is not None:
+        target = target.join(cleared, cleared.columns, "left_anti")
+    stage = f"{path.rstrip('/')}_stage/{uuid.uuid4().hex}"
+    merge_rows(target, updates, keys, version).hint("rebalance", part).write.partitionBy(part).parquet(f"{stage}/rows")
+    days.coalesce(1).write.parquet(f"{stage}/parts")
+    return stage
+
+
+def replay_stages(spark: SparkSession, path: str, schema: T.StructType, part: str = "day") -> None:
+    """Swap complete stages in; incomplete ones were never visible and stay where they are."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_stage")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return
+    found = sorted(fs.listStatus(root), key=lambda x: x.getModificationTime())
+    for stage in [x.getPath() for x in found]:
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(stage, "parts/_SUCCESS")):
+            continue
+        rows = spark.read.schema(schema).parquet(f"{stage}/rows")
+        write_partitions(rows, path, (part,))
+        # Partitions that lost all their rows; a list of touched partitions is short.
+        gone = spark.read.parquet(f"{stage}/parts").join(rows.select(part).distinct(), part, "left_anti").collect()
+        for row in gone:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={row[0]}"), True)
+        fs.delete(stage, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

@@ -12,8 +12,8 @@ from barograph.operators import alerts as al, bars, daily_features as df_, intra
 from barograph.schemas import FEATURE_COLUMNS
 from barograph.session import CONSTRAINTS
 from barograph.sources import decode as dc
-from barograph.sources.tables import read_table, table_schema, upsert
-from barograph.streaming.lifecycle import Sink, StreamSource, append_stream, lake_sink, open_stream, open_table, to_sinks, without_repeats
+from barograph.sources.tables import exists, read_table, table_schema, upsert
+from barograph.streaming.lifecycle import Sink, StreamSource, append_stream, open_stream, open_table, to_sinks, without_repeats
 
 _DECODE = {"market": dc.market_messages, "indicator": dc.indicator_messages, "news": dc.news_messages}
 
@@ -28,33 +28,42 @@ def land(spark: SparkSession, source: StreamSource, kind: str, base: str, every:
     return append_stream(rows, _path(base, f"bronze.{kind}"), f"{base}/checkpoints/land_{kind}", every)
 
 
-def clean(spark: SparkSession, kind: str, base: str, every: str | None = "2 minutes", extra: Sequence[Sink] = (),
+def clean(spark: SparkSession, kind: str, base: str, every: str | None = "2 minutes",
           repeats_within: str | None = None) -> StreamingQuery:
-    """Bronze to silver, and to further sinks where given."""
+    """Bronze to silver."""
     rows = open_table(spark, base, f"bronze.{kind}").drop("day")
     if repeats_within:
         rows = without_repeats(rows, repeats_within, ("indicator" if kind == "indicator" else "symbol", "ts"))
     rules = {"market": lambda r: ql.clean_intraday(r), "indicator": lambda r: ql.clean_intraday(r, "indicator"),
              "news": lambda r: ql.clean_news(r).drop("category", "summary")}
-    out, path, mark = rules[kind](rows), _path(base, f"silver.{kind}"), f"{base}/checkpoints/clean_{kind}"
-    if extra:
-        return to_sinks(out, [lake_sink(f"{path}_batches"), *extra], mark, every)
-    return append_stream(out, path, mark, every)
+    return append_stream(rules[kind](rows), _path(base, f"silver.{kind}"), f"{base}/checkpoints/clean_{kind}", every)
 
 
-def _touched_history(batch: DataFrame, silver: DataFrame, lookback: str | None) -> DataFrame:
-    """History of the touched symbols up to their newest touched time.
+def forward(spark: SparkSession, kind: str, base: str, sinks: Sequence[Sink], name: str, every: str | None = "2 minutes") -> StreamingQuery:
+    """Silver rows to further sinks, by batch. Silver itself is the same table whether or not anything follows it."""
+    return to_sinks(open_table(spark, base, f"silver.{kind}"), sinks, f"{base}/checkpoints/forward_{kind}_{name}", every)
 
-    The two bounds of the batch come to the driver as scalars, so the scan can skip files by day; symbols stay a join.
+
+def _touched_history(batch: DataFrame, silver: DataFrame, lookback: int | None) -> DataFrame:
+    """History of the touched symbols up to their newest touched time, with ``lookback`` bars before the first one.
+
+    Days are added, twice as many each time, until every touched symbol has its bars or nothing older is left; each
+    count reads two columns of the days in question. Only scalars come to the driver, so the scan skips files by day.
     """
-    span = batch.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    if lookback:
-        span = span.withColumn("lo", F.col("lo") - F.expr(f"interval {lookback}"))
-    lo, hi = span.first()
+    lo, hi = batch.agg(F.min("ts"), F.max("ts")).first()
     bounded = silver.where((F.col("ts") <= F.lit(hi)) & (F.col("day") <= F.to_date(F.lit(hi))))
-    if lookback:
-        bounded = bounded.where((F.col("ts") >= F.lit(lo)) & (F.col("day") >= F.to_date(F.lit(lo))))
-    return bounded.join(batch.select("symbol").distinct(), "symbol", "left_semi")
+    first = batch.groupBy("symbol").agg(F.min("ts").alias("_first"))
+    if lookback is not None:
+        back, before = 1, bounded.select("symbol", "ts", "day").join(first, "symbol").where(F.col("ts") < F.col("_first"))
+        while True:
+            start = F.date_sub(F.to_date(F.lit(lo)), back)
+            bars_before = before.where(F.col("day") >= start).groupBy("symbol").agg(F.count_distinct("ts").alias("n"))
+            short = first.join(bars_before, "symbol", "left").where(F.coalesce("n", F.lit(0)) < lookback).select("symbol")
+            if before.where(F.col("day") < start).join(short, "symbol", "left_semi").isEmpty():
+                break
+            back *= 2
+        bounded = bounded.where(F.col("day") >= start)
+    return bounded.join(first.select("symbol"), "symbol", "left_semi")
 
 
 def _batch_session(batch: DataFrame) -> SparkSession:
@@ -64,10 +73,11 @@ def _batch_session(batch: DataFrame) -> SparkSession:
     return session
 
 
-def alert_batch(base: str, rules: AlertRules = AlertRules(), lookback: str | None = "1100 minutes") -> Sink:
-    """Recompute indicators of the touched symbols and upsert the alerts of the touched rows.
+def alert_batch(base: str, rules: AlertRules = AlertRules(), lookback: int | None = intraday.LOOKBACK_ROWS) -> Sink:
+    """Recompute indicators of the touched symbols and replace the alerts of the touched rows.
 
-    The look-back must span ``intraday.LOOKBACK_ROWS`` bars; then a value does not depend on batch boundaries.
+    The look-back is counted in bars, so a value depends neither on batch boundaries nor on nights and weekends. Stored
+    alerts of a touched row that no longer hold, as after a corrected price, go.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = _batch_session(batch)
@@ -80,33 +90,53 @@ def alert_batch(base: str, rules: AlertRules = AlertRules(), lookback: str | Non
                                        ["symbol", "ts"], ["process_date"]).drop("process_date")
             current = intraday.indicators(rows).join(keys, ["symbol", "ts"], "left_semi")
             found = al.stamped(al.alerts(current, rules, batch_id))
-            upsert(found, _path(base, "alert.market"), table_schema("alert.market"), ["symbol", "event_time", "alert_type"])
+            upsert(found, _path(base, "alert.market"), table_schema("alert.market"), ["symbol", "event_time", "alert_type"],
+                   cleared=keys.select("symbol", F.col("ts").alias("event_time"), F.to_date("ts").alias("day")))
         finally:
             keys.unpersist()
     return write
 
 
 def raise_alerts(spark: SparkSession, base: str, every: str | None = None, rules: AlertRules = AlertRules(),
-                 lookback: str | None = "1100 minutes") -> StreamingQuery:
+                 lookback: int | None = intraday.LOOKBACK_ROWS) -> StreamingQuery:
     return to_sinks(open_table(spark, base, "silver.market"), [alert_batch(base, rules, lookback)],
                     f"{base}/checkpoints/alerts", every)
 
 
-def feature_batch(base: str, benchmark: str = "SPY", version: str = "v1") -> Sink:
+def _current_bars(spark: SparkSession, base: str, batch: DataFrame) -> DataFrame:
+    """The table of daily bars, with the days of the batch computed anew from silver."""
+    path, schema = _path(base, "silver.daily_bars"), table_schema("silver.daily_bars")
+    pairs = batch.where("ts is not null and symbol is not null").select("symbol", F.to_date("ts").alias("day")).distinct()
+    silver = read_table(spark, base, "silver.market")
+    if exists(spark, path):
+        silver = silver.join(pairs.select("day").distinct(), "day", "left_semi")
+    fresh = bars.daily_bars(silver.drop("day"))
+    upsert(fresh.select("day", "symbol", "open", "high", "low", "close", "volume"), path, schema, ["day", "symbol"], cleared=pairs)
+    return read_table(spark, base, "silver.daily_bars")
+
+
+def feature_batch(base: str, benchmark: str | None = "SPY", version: str = "v1") -> Sink:
     """Daily features of the touched (day, symbol) pairs, upserted. All history is needed: peaks and sums have no end.
 
-    Without rows of the benchmark symbol, the equal-weight mean of all daily closes stands for the market.
+    The batch brings the table of daily bars up to date for the days it touches; features are computed from that table.
+    ``benchmark`` names the symbol that stands for the market; None takes the equal-weight mean of all daily closes. A
+    named one without any bar is an error, so the meaning of a column never depends on what has arrived.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = _batch_session(batch)
-        touched = batch.where((F.col("symbol") != benchmark) & F.col("ts").isNotNull()).select("symbol", "ts").persist()
+        touched = batch.where((F.col("symbol") != (benchmark or "")) & F.col("ts").isNotNull()).select("symbol", "ts").persist()
         try:
+            if batch.isEmpty():
+                return
+            daily = _current_bars(spark, base, batch)
             if touched.isEmpty():
                 return
-            silver = read_table(spark, base, "silver.market").drop("day")
-            daily = bars.daily_bars(silver)
-            own = daily.where(F.col("symbol") == benchmark).select("day", "close")
-            market = daily.groupBy("day").agg(F.avg("close").alias("close")) if own.isEmpty() else own
+            if benchmark is None:
+                market = daily.groupBy("day").agg(F.avg("close").alias("close"))
+            else:
+                market = daily.where(F.col("symbol") == benchmark).select("day", "close")
+                if market.isEmpty():
+                    raise ValueError(f"no bars of the benchmark {benchmark}")
             wanted = daily.join(touched.select("symbol").distinct(), "symbol", "left_semi")
             rows = df_.touched_only(df_.price_features(wanted, market), touched)
             out = df_.with_vector(rows, version, batch_id).select("day", "symbol", *FEATURE_COLUMNS, "feature_vector",
@@ -117,6 +147,6 @@ def feature_batch(base: str, benchmark: str = "SPY", version: str = "v1") -> Sin
     return write
 
 
-def build_features(spark: SparkSession, base: str, benchmark: str = "SPY", every: str | None = None) -> StreamingQuery:
+def build_features(spark: SparkSession, base: str, benchmark: str | None = "SPY", every: str | None = None) -> StreamingQuery:
     return to_sinks(open_table(spark, base, "silver.market"), [feature_batch(base, benchmark)],
                     f"{base}/checkpoints/features", every)

@@ -33,7 +33,7 @@ def lake(spark, tmp_path_factory):
         spark.createDataFrame(_messages(n, start), RAW_STREAM).coalesce(1).write.mode("append").parquet(source.path)
         run_together(spark, [jobs.land(spark, source, "market", base)])
         run_together(spark, [jobs.clean(spark, "market", base, every=None, repeats_within=None)])
-        run_together(spark, [jobs.raise_alerts(spark, base, lookback=None)])
+        run_together(spark, [jobs.raise_alerts(spark, base)])
     return base
 
 
@@ -53,7 +53,7 @@ def test_stream_equals_batch(spark, lake):
 
 def test_repeated_batch_changes_nothing(spark, lake):
     before = tb.read_table(spark, lake, "alert.market").count()
-    jobs.alert_batch(lake, lookback=None)(tb.read_table(spark, lake, "silver.market"), 99)
+    jobs.alert_batch(lake)(tb.read_table(spark, lake, "silver.market"), 99)
     assert tb.read_table(spark, lake, "alert.market").count() == before
 
 
@@ -89,3 +89,102 @@ def test_lake_sink_is_idempotent(spark, tmp_path):
     write = lake_sink(str(tmp_path / "t"))
     write(rows, 0), write(rows, 0), write(rows, 1)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def _session(day, n, price):
+    begin = datetime(2024, 1, day, 14, 30)
+    now = datetime(2024, 2, 1)
+    return [(begin + timedelta(minutes=i), s, p, p + 1.0, p - 1.0, p, 1000 + (5000 if i % 97 == 0 else i % 7), 0.0, 0.0, 2.0, 0.5, now, now)
+            for i in range(n) for s in ("AAA", "BBB") for p in [price(i + day * 31 + (s == "BBB"))]]
+
+
+def _alert_keys(rows):
+    return {tuple(r) for r in rows.select("symbol", "event_time", "alert_type").collect()}
+
+
+def test_default_alerts_over_a_weekend_and_a_corrected_tick(spark, tmp_path):
+    """Thursday, Friday and the first hour of Monday; then one stored price is corrected."""
+    base, schema = str(tmp_path), tb.TABLES["silver.market"][0]
+    price = lambda k: 100.0 + 8 * ((k * 7) % 13) / 13 + (30 if k % 83 == 0 else 0)
+    parts = [spark.createDataFrame(_session(day, n, price), schema) for day, n in ((4, 390), (5, 390), (8, 60))]
+    for k, part in enumerate(parts):
+        tb.append(tb.with_day(part), f"{base}/silver/market")
+        jobs.alert_batch(base)(part, k)
+    columns = ("symbol", "ts", "open", "high", "low", "close", "volume")
+    batch = al.alerts(intraday.indicators(tb.read_table(spark, base, "silver.market").select(*columns)))
+    stored = tb.read_table(spark, base, "alert.market")
+    want = _alert_keys(batch)
+    assert _alert_keys(stored) == want and stored.count() == len(want)
+    assert any(t.day == 8 for _, t, _ in want)
+    moment = max(t for s, t, _ in want if s == "AAA" and t.day == 8)
+    fixed = parts[2].where((F.col("symbol") == "AAA") & (F.col("ts") == F.lit(moment))).withColumn(
+        "process_date", F.lit(datetime(2024, 2, 2)))
+    for c in ("open", "high", "low", "close"):
+        fixed = fixed.withColumn(c, F.lit(103.0))
+    tb.append(tb.with_day(fixed), f"{base}/silver/market")
+    jobs.alert_batch(base)(fixed, 9)
+    from barograph.operators.bars import latest_version
+
+    silver = tb.read_table(spark, base, "silver.market").select(*columns, "process_date")
+    newest = latest_version(silver, ["symbol", "ts"], ["process_date"]).drop("process_date")
+    at_moment = lambda keys: {k for k in keys if k[0] == "AAA" and k[1] == moment}
+    now = at_moment(_alert_keys(al.alerts(intraday.indicators(newest))))
+    assert at_moment(_alert_keys(tb.read_table(spark, base, "alert.market"))) == now != at_moment(want)
+
+
+def test_two_sinks_leave_silver_where_it_is(spark, tmp_path):
+    from barograph.streaming.lifecycle import lake_sink
+
+    base = str(tmp_path)
+    source = StreamSource("parquet", "stock_market", f"{base}/topic")
+    spark.createDataFrame(_messages(60), RAW_STREAM).write.parquet(source.path)
+    run_together(spark, [jobs.land(spark, source, "market", base)])
+    run_together(spark, [jobs.clean(spark, "market", base, every=None, repeats_within="10 minutes")])
+    run_together(spark, [jobs.forward(spark, "market", base, [lake_sink(f"{base}/copy"), lake_sink(f"{base}/more")], "copies", every=None)])
+    run_together(spark, [jobs.raise_alerts(spark, base)])
+    assert {spark.read.parquet(f"{base}/{n}").count() for n in ("silver/market", "copy", "more")} == {120}
+    assert tb.read_table(spark, base, "alert.market").count() > 0
+
+
+def test_repeats_are_dropped_within_the_delay(spark, tmp_path):
+    from barograph.streaming.lifecycle import without_repeats
+
+    rows = [(datetime(2024, 1, 1, 10, 0), "AAA", 1.0), (datetime(2024, 1, 1, 10, 0), "AAA", 2.0), (datetime(2024, 1, 1, 10, 1), "AAA", 1.0)]
+    spark.createDataFrame(rows, "ts timestamp, symbol string, x double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, symbol string, x double").parquet(f"{tmp_path}/in")
+    query = (without_repeats(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_catalog_tables_show_appended_rows(spark, tmp_path):
+    base, name = str(tmp_path), "silver.daily_bars"
+    tb.ensure_tables(spark, base, [name])
+    try:
+        rows = spark.createDataFrame([(datetime(2024, 1, k).date(), "AAA", 1.0, 1.0, 1.0, 1.0, 5) for k in (1, 2)], tb.TABLES[name][0])
+        tb.append(rows, f"{base}/silver/daily_bars")
+        tb.refresh_tables(spark, base, [name])
+        assert spark.sql("select count(*) as n from silver_daily_bars").first().n == 2
+    finally:
+        spark.sql("drop table if exists silver_daily_bars")
+
+
+def test_upsert_survives_a_break_between_stage_and_swap(spark, tmp_path):
+    path, schema = f"{tmp_path}/bars", tb.TABLES["silver.daily_bars"][0]
+    make = lambda *rows: spark.createDataFrame([(datetime(2024, 1, d).date(), s, x, x, x, x, 1) for d, s, x in rows], schema)
+    read = lambda: {(r.day.day, r.symbol, r.close) for r in spark.read.schema(schema).parquet(path).collect()}
+    tb.upsert(make((1, "A", 1.0), (1, "B", 2.0), (2, "A", 3.0)), path, schema, ["day", "symbol"])
+    tb.stage_upsert(make((1, "A", 9.0)), path, schema, ["day", "symbol"])
+    assert read() == {(1, "A", 1.0), (1, "B", 2.0), (2, "A", 3.0)}
+    tb.upsert(make((3, "C", 4.0)), path, schema, ["day", "symbol"])
+    assert read() == {(1, "A", 9.0), (1, "B", 2.0), (2, "A", 3.0), (3, "C", 4.0)}
+    tb.upsert(make(), path, schema, ["day", "symbol"], cleared=make((2, "A", 0.0)).select("day", "symbol"))
+    assert read() == {(1, "A", 9.0), (1, "B", 2.0), (3, "C", 4.0)}
+
+
+def test_exports_and_stages(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1), ("B", 2)], "symbol string, n int")
+    tb.export_csv(rows, f"{tmp_path}/csv"), tb.export_json(rows, f"{tmp_path}/json")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == spark.read.json(f"{tmp_path}/json").count() == 2
+    assert sorted(r.n for r in tb.stage_run(rows, str(tmp_path), "run1", "bars").collect()) == [1, 2]
