@@ -97,8 +97,8 @@ INDICATOR_NAMES = {
     "UPCOMINDEX": "UPCoM-Index",
 }
 
-# fixed values: words that look like tickers, and claims that must not appear
-NOT_TICKERS = ("I", "A", "THE", "AND", "OR", "FOR", "API", "SQL", "HTML", "CSS", "JSON", "CSV", "ORCA")
+# fixed values: words that look like tickers (a caller adds the names of its own product), and claims that must not appear
+NOT_TICKERS = ("I", "A", "THE", "AND", "OR", "FOR", "API", "SQL", "HTML", "CSS", "JSON", "CSV")
 FORBIDDEN_CLAIMS = ("guaranteed profit", "risk-free", "certain return")
 
 # fixed values: prefixes of source references that count as reliable

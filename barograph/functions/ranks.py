@@ -1,8 +1,8 @@
 """Exact ranks, quantiles and rank statistics without a global sort in one task.
 
-Values are first counted, so ties collapse before any shuffle of rows. A monotone bin of the value splits each group into
-pieces; offsets come from a window over bins (their number is bounded by the number format, not by the data) and the
-order inside a bin from a window over (group, bin).
+Values are first counted, so ties collapse before any shuffle of rows. Cut points taken from the values themselves split
+each group into pieces of about equal size, also when all values lie in a narrow band; offsets come from a window over
+the pieces (at most BINS per group) and the order inside a piece from a window over (group, piece).
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Non-decreasing in x, about 4096 bins per factor e: a bin holds a small share of any continuous distribution.
-_BIN = "signum({x}) * floor(ln(1 + abs({x}) * 1e6) * 4096)"
+#: Bins per group, cut at about equal numbers of distinct values, wherever these lie.
+BINS = 512
 
 
 def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), sums: Sequence[str] = (),
@@ -23,8 +23,10 @@ def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), sums: Seq
     """
     groups = list(groups)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
-              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(s).alias(s) for s in sums])
-              .withColumn("_bin", F.expr(_BIN.format(x=value))))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(s).alias(s) for s in sums]))
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, [k / BINS for k in range(1, BINS)], 4 * BINS).alias("_cuts"))
+    counts = counts.join(cuts, groups) if groups else counts.crossJoin(F.broadcast(cuts))  # one row
+    counts = counts.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     bins = (counts.groupBy(*groups, "_bin").agg(F.sum("n").alias("_n"))
             .select(*groups, "_bin", F.sum("_n").over(by_group).alias("total"),

@@ -165,7 +165,8 @@ def equity_curve(trades: DataFrame, bench: DataFrame, start: str, end: str) -> D
         (F.col("r") / F.greatest(F.col("b") - F.col("a"), F.lit(1))).alias("r"), "k")
     daily = spans.select(F.explode("on").alias("i"), "r", "k").groupBy("i").agg((F.sum("r") / F.sum("k")).alias("ret"))
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    growth = lambda c: F.exp(F.sum(F.log1p(c)).over(run)) - 1
+    lost = lambda c: F.max(F.when(c <= -1, 1)).over(run).isNotNull()  # noqa: E731 - nothing is left after a total loss
+    growth = lambda c: F.when(lost(c), -1.0).otherwise(F.exp(F.sum(F.when(c > -1, F.log1p(c))).over(run)) - 1)
     rows = numbered.join(daily, "i", "left").select(
         "day", F.coalesce("ret", F.lit(0.0)).alias("ret"),
         F.coalesce(F.try_divide("close", F.lag("close").over(Window.orderBy("day"))) - 1, F.lit(0.0)).alias("_b"))

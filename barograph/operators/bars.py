@@ -88,19 +88,22 @@ def as_of(facts: DataFrame, dates: DataFrame, date: str, values: Sequence[str],
           day: str = "day") -> DataFrame:
     """Latest values per key at each date.
 
-    Each fact is valid until the key's next fact; the dates inside that interval are found by bucketing both sides by
-    month, so the match is an equi-join: an interval is expanded to its months, never to pairs of facts and dates.
+    Each fact is valid until the key's next fact. The wanted dates, a calendar, are one row: a map from month to the
+    month's dates. A fact looks its own months up, so facts are shuffled by key only, and meet no date outside them.
     """
     w = series(key, day)
-    last = dates.agg(F.max(date).alias("_last"))
-    span = (facts.select(key, day, *values, F.lead(day).over(w).alias("_next")).crossJoin(last)
-            .withColumn("_until", F.coalesce(F.date_sub("_next", 1), F.greatest("_last", F.col(day))))
-            .where(F.col(day) <= F.col("_last")))
-    months = F.sequence(F.trunc(day, "month"), F.trunc("_until", "month"), F.expr("interval 1 month"))
-    left = span.withColumn("_m", F.explode(months))
-    right = dates.select(date, F.trunc(date, "month").alias("_m")).distinct()
-    return (left.join(right, "_m").where(F.col(date).between(F.col(day), F.col("_until")))
-            .select(date, key, F.col(day).alias("as_of_day"), *values))
+    calendar = dates.select(date).where(F.col(date).isNotNull()).distinct()
+    months = calendar.groupBy(F.trunc(date, "month").alias("_m")).agg(F.collect_set(date).alias("_d"))
+    table = months.agg(F.map_from_entries(F.collect_list(F.struct("_m", "_d"))).alias("_dates"),
+                       F.max(F.array_max("_d")).alias("_last"))
+    span = (facts.select(key, day, *values, F.lead(day).over(w).alias("_next")).crossJoin(F.broadcast(table))
+            .where(F.col(day) <= F.col("_last"))
+            .withColumn("_until", F.least("_last", F.coalesce(F.date_sub("_next", 1), F.col("_last")))))
+    own = F.sequence(F.trunc(day, "month"), F.trunc("_until", "month"), F.expr("interval 1 month"))
+    near = F.flatten(F.filter(F.transform(own, lambda m: F.col("_dates")[m]), lambda d: d.isNotNull()))
+    hit = F.filter(near, lambda d: (d >= F.col(day)) & (d <= F.col("_until")))
+    return span.where(F.col("_until") >= F.col(day)).select(
+        F.explode(hit).alias(date), key, F.col(day).alias("as_of_day"), *values)
 
 
 def forward_close(bars: DataFrame, horizons: Sequence[int], key: str = "symbol") -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barograph.config import TRUSTED_PREFIXES
+from barograph.functions.rounding import half_even
 
 # fixed values: severity, default caps and adjustments per risk label
 SEVERITY = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
@@ -27,8 +28,8 @@ def half_up(x: Column, digits: int = 2) -> Column:
 
 
 def _mean2(name: str) -> Column:
-    """Two digits of a mean; the noise of the summing order is removed first, so ties always go up."""
-    return F.round(F.round(name, 10), 2)
+    """Two digits of a mean; the noise of the summing order is removed first."""
+    return half_even(F.round(name, 10))
 
 
 def _present(items: Sequence[Column]) -> Column:
@@ -78,7 +79,7 @@ def risk_rollup(rows: DataFrame, holdings: DataFrame) -> DataFrame:
     return out.select(
         "request_id", F.coalesce("_label", F.lit("HIGH")).alias("risk_label"),
         F.when(none, 0.45).otherwise(F.coalesce("_cap", lookup(RISK_CAP, F.col("_label")))).alias("risk_cap"),
-        F.when(none, 0.0).otherwise(F.round(F.least(F.lit(0.8), "_cap"), 2)).alias("risk_confidence"),
+        F.when(none, 0.0).otherwise(half_even(F.least(F.lit(0.8), "_cap"))).alias("risk_confidence"),
         F.when(F.col("decision_mode") == "portfolio_recommendation", F.coalesce("overweight", F.array().cast("array<string>")))
         .otherwise(F.array().cast("array<string>")).alias("overweight"),
         missing.alias("risk_missing"),
@@ -91,7 +92,7 @@ def sentiment_rollup(rows: DataFrame) -> DataFrame:
     agg = rows.groupBy("request_id").agg(
         F.count_if(seen).alias("_n"), F.avg(F.abs("sentiment_score")).alias("_s"), F.min("sentiment_label").alias("_a"),
         F.max("sentiment_label").alias("_b"), F.max("sentiment_stale").alias("_stale"), F.count_if(~seen).alias("_miss"))
-    conf = F.round(F.round(F.lit(0.5) + F.least(F.col("_s"), F.lit(1.0)) * 0.3, 10), 2)
+    conf = half_even(F.round(F.lit(0.5) + F.least(F.col("_s"), F.lit(1.0)) * 0.3, 10))
     stale = F.coalesce("_stale", F.lit(False))
     return agg.select(
         "request_id", F.when(F.col("_n") == 0, "UNAVAILABLE").when(F.col("_a") != F.col("_b"), "MIXED").otherwise(F.col("_a"))
@@ -134,17 +135,17 @@ def source_quality(sections: DataFrame) -> DataFrame:
         F.avg((~F.col("is_stale")).cast("double")).alias("_f"), F.sum(F.size("source_refs")).alias("_refs"),
         F.sum("_rel").alias("_rel"), F.sum("_trust").alias("_trust"), F.try_divide(F.sum("found"), F.sum("wanted")).alias("_c"),
         F.max("is_stale").alias("stale_data"))
-    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("_refs")), F.lit(0.5)), 2)
-    scores = agg.select("request_id", "stale_data", F.coalesce(F.round("_f", 2), F.lit(0.0)).alias("freshness"),
-                        share("_rel").alias("relevance"), F.coalesce(F.round("_c", 2), F.lit(0.0)).alias("completeness"),
+    share = lambda c: half_even(F.coalesce(F.try_divide(F.col(c), F.col("_refs")), F.lit(0.5)))
+    scores = agg.select("request_id", "stale_data", F.coalesce(half_even(F.col("_f")), F.lit(0.0)).alias("freshness"),
+                        share("_rel").alias("relevance"), F.coalesce(half_even(F.col("_c")), F.lit(0.0)).alias("completeness"),
                         share("_trust").alias("reliability"))
-    total = F.round(0.35 * F.col("freshness") + 0.25 * F.col("relevance") + 0.25 * F.col("completeness")
-                    + 0.15 * F.col("reliability"), 2)
+    total = half_even(0.35 * F.col("freshness") + 0.25 * F.col("relevance") + 0.25 * F.col("completeness")
+                      + 0.15 * F.col("reliability"))
     scores = scores.withColumn("quality", total)
     q, f = F.col("quality"), F.col("freshness")
     return scores.select(
         "*", F.when((f < 0.6) | (q < 0.6), 0.55).when(q < 0.7, 0.65).otherwise(0.9).alias("quality_cap"),
-        F.round(F.least(F.lit(0.0), (q - 1.0) * 0.2), 2).alias("quality_adjustment"),
+        half_even(F.least(F.lit(0.0), (q - 1.0) * 0.2)).alias("quality_adjustment"),
         _present([F.when(F.col("stale_data"), "One or more tool results are stale."),
                   F.when(F.col("relevance") < 0.7, "Some source references do not directly mention requested symbols."),
                   F.when(F.col("completeness") < 0.7, "Optional or per-symbol tool context is incomplete.")])

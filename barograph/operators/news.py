@@ -12,7 +12,8 @@ from barograph.config import NewsRules
 # fixed values: reference strings of the news sources and of the scoring model
 SOURCE_REFS = {"yfinance": "yfinance.news", "finnhub": "finnhub.company_news"}
 SCORER_REF = "finbert:ProsusAI/finbert"
-_STRIP = ".,:;!?()[]{}\"''"
+# fixed value: punctuation that is cut off words
+_STRIP = ".,:;!?()[]{}\"'"
 
 
 def daily_news(news: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def symbol_freshness(tables: Mapping[str, DataFrame], now: DataFrame) -> DataFra
 
 
 def recent_alerts(alerts: DataFrame, now: DataFrame, lookback_minutes: int, symbols: Sequence[str] = (),
-                  levels: Sequence[str] = (), limit: int = 20) -> DataFrame:
+                  levels: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Newest alerts inside the look-back."""
     rows = alerts
     if symbols:
@@ -53,7 +53,8 @@ def recent_alerts(alerts: DataFrame, now: DataFrame, lookback_minutes: int, symb
     if levels:
         rows = rows.where(F.col("alert_level").isin(list(levels)))
     rows = rows.join(F.broadcast(now), F.col("event_time") >= F.col("now") - F.expr(f"interval {lookback_minutes} minutes"))
-    return rows.drop("now").orderBy(F.desc("event_time"), "symbol", "alert_type").limit(limit)
+    newest = rows.drop("now").orderBy(F.desc("event_time"), "symbol", "alert_type")
+    return newest if limit is None else newest.limit(limit)
 
 
 def missing_symbol_incidents(tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:

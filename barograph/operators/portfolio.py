@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barograph.config import FORBIDDEN_CLAIMS, NOT_TICKERS, PortfolioRules
+from barograph.functions.rounding import half_even
 from barograph.operators.halo import number_rows, own_rows, with_halo
 
 
@@ -16,11 +17,11 @@ def holdings(positions: DataFrame, tenant: str | None = None) -> DataFrame:
     given = F.col("weight") if "weight" in rows.columns else F.lit(None).cast("double")
     weight = F.coalesce(given, F.when(total > 0, F.try_divide("market_value", total) * 100))
     return rows.select("account_id", "tenant_id", F.replace(F.upper(F.trim("symbol")), F.lit("."), F.lit("-")).alias("symbol"),
-                       F.round(weight, 2).alias("weight")).where((F.col("symbol") != "") & F.col("weight").isNotNull())
+                       half_even(weight).alias("weight")).where((F.col("symbol") != "") & F.col("weight").isNotNull())
 
 
 def rebalance(held: DataFrame, rules: PortfolioRules = PortfolioRules()) -> DataFrame:
-    """Equal weight under the caps, the rest in cash."""
+    """Equal weight under the caps, the rest in cash; an account without any eligible symbol goes to cash, in one row."""
     rows = held
     if rules.excluded:
         rows = rows.where(~F.col("symbol").isin(list(rules.excluded)))
@@ -28,10 +29,12 @@ def rebalance(held: DataFrame, rules: PortfolioRules = PortfolioRules()) -> Data
         rows = rows.where(F.col("symbol").isin(list(rules.allowed)))
     n = F.count(F.lit(1)).over(Window.partitionBy("account_id"))
     rows = rows.withColumn("_n", n).withColumn(
-        "target_weight", F.least(F.lit(rules.max_weight), F.round((100.0 - rules.min_cash) / F.col("_n"), 2)))
-    cash = F.round(F.greatest(F.lit(rules.min_cash), 100.0 - F.round(F.col("target_weight") * F.col("_n"), 2)), 2)
-    return rows.select("account_id", "symbol", F.col("weight").alias("current_weight"), "target_weight",
-                       F.round(F.col("target_weight") - F.col("weight"), 2).alias("change"), cash.alias("cash_target"))
+        "target_weight", F.least(F.lit(rules.max_weight), half_even((100.0 - rules.min_cash) / F.col("_n"))))
+    cash = half_even(F.greatest(F.lit(rules.min_cash), 100.0 - half_even(F.col("target_weight") * F.col("_n"))))
+    plan = rows.select("account_id", "symbol", F.col("weight").alias("current_weight"), "target_weight",
+                       half_even(F.col("target_weight") - F.col("weight")).alias("change"), cash.alias("cash_target"))
+    idle = held.select("account_id").distinct().join(rows.select("account_id").distinct(), "account_id", "left_anti")
+    return plan.unionByName(idle.withColumn("cash_target", F.lit(100.0)), allowMissingColumns=True)
 
 
 def allocation_faults(allocations: DataFrame, max_weight: float, min_cash: float | None = None) -> DataFrame:
@@ -56,21 +59,23 @@ def forbidden_claims(rows: DataFrame, text: str = "text") -> DataFrame:
                                               lambda c: c.isNotNull()))
 
 
+# fixed value: pattern of a ticker
 _TICKER = r"(?<![A-Za-z0-9])([A-Z]{1,5}(?:-[A-Z])?)(?![A-Za-z0-9])"
 
 
-def tickers_in(text: str) -> F.Column:
+def tickers_in(text: str, stop: tuple[str, ...] = NOT_TICKERS) -> F.Column:
     """Distinct words of a text that look like tickers, without the stop list, in order."""
     found = F.regexp_extract_all(F.col(text), F.lit(_TICKER), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(list(NOT_TICKERS))))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(list(stop))))
 
 
-def message_tickers(messages: DataFrame, history: int = 5, block: int = 4096) -> DataFrame:
+def message_tickers(messages: DataFrame, history: int = 5, block: int = 4096,
+                    stop: tuple[str, ...] = NOT_TICKERS) -> DataFrame:
     """Tickers of each turn; a turn without any falls back to its last turns. Adds the rule-based route.
 
     Conversations are cut into overlapping blocks of turns, so one that holds most of the rows is spread over tasks.
     """
-    rows = number_rows(messages.withColumn("_tickers", tickers_in("text")), "conv_id", "turn",
+    rows = number_rows(messages.withColumn("_tickers", tickers_in("text", stop)), "conv_id", "turn",
                        slice_by=F.floor(F.col("turn") / block))
     w = Window.partitionBy("conv_id", "block").orderBy("rn")
     rows = with_halo(rows, history, block).withColumn("_past", F.array_distinct(F.flatten(

@@ -100,7 +100,7 @@ def first_existing(df: DataFrame, *names: str) -> Column:
     return F.lit(None)
 
 
-def picks(frame: DataFrame, rules: TradeRules = TradeRules(), limit: int = 25) -> DataFrame:
+def picks(frame: DataFrame, rules: TradeRules = TradeRules(), limit: int | None = None) -> DataFrame:
     """Stock picks from tables of varying column names: risk as percent, score filled, thresholds, best first."""
     num = lambda c: c.cast("double")
     rows = frame.select(
@@ -118,8 +118,9 @@ def picks(frame: DataFrame, rules: TradeRules = TradeRules(), limit: int = 25) -
                            .otherwise(F.col("_score")))
     keep = rows.select("date", "ticker", "entry_price", "pred_a", "risk_prob_pct", "final_score").dropna(
         subset=["date", "ticker", "pred_a", "risk_prob_pct", "final_score"])
-    return (keep.where((F.col("pred_a") >= rules.min_pred_a) & (F.col("risk_prob_pct") <= rules.max_risk * 100))
-            .orderBy(F.desc("date"), F.desc("final_score"), "ticker").limit(limit))
+    best = (keep.where((F.col("pred_a") >= rules.min_pred_a) & (F.col("risk_prob_pct") <= rules.max_risk * 100))
+            .orderBy(F.desc("date"), F.desc("final_score"), "ticker"))
+    return _first(best, limit)
 
 
 def picks_summary(rows: DataFrame, min_score: float = 0.0, max_risk_pct: float = 100.0) -> DataFrame:
@@ -152,26 +153,31 @@ def latest_market(rows: DataFrame) -> DataFrame:
     return newest.withColumn("day_change_pct", F.try_divide(F.col("close") - F.col("open"), "open") * 100)
 
 
-def symbol_list(rows: DataFrame, limit: int = 2000) -> DataFrame:
-    return rows.where(F.col("symbol").isNotNull()).select("symbol").distinct().orderBy("symbol").limit(limit)
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """A page where the caller shows one; all rows otherwise."""
+    return rows if limit is None else rows.limit(limit)
 
 
-def symbol_history(rows: DataFrame, symbol: str, start: str, limit: int = 20000) -> DataFrame:
-    return rows.where((F.col("symbol") == symbol) & (F.col("ts") >= F.lit(start).cast("timestamp"))).orderBy("ts").limit(limit)
+def symbol_list(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(rows.where(F.col("symbol").isNotNull()).select("symbol").distinct().orderBy("symbol"), limit)
 
 
-def news_search(rows: DataFrame, symbol: str | None = None, text: str = "", limit: int = 200, by_id: bool = False) -> DataFrame:
+def symbol_history(rows: DataFrame, symbol: str, start: str, limit: int | None = None) -> DataFrame:
+    return _first(rows.where((F.col("symbol") == symbol) & (F.col("ts") >= F.lit(start).cast("timestamp"))).orderBy("ts"), limit)
+
+
+def news_search(rows: DataFrame, symbol: str | None = None, text: str = "", limit: int | None = None, by_id: bool = False) -> DataFrame:
     """Newest version per story, newest first. ``by_id`` orders by story number instead."""
     if symbol and symbol != "All":
         rows = rows.where(F.col("symbol") == symbol)
     if text:
         rows = rows.where(F.lower("headline").contains(text.lower()))
     newest = latest_per_key(rows, "id", ("event_timestamp", "ts"))
-    return newest.orderBy(*(["id"] if by_id else [F.desc("ts"), "id"])).limit(limit)
+    return _first(newest.orderBy(*(["id"] if by_id else [F.desc("ts"), "id"])), limit)
 
 
 def alert_search(rows: DataFrame, symbols: Sequence[str] = (), types: Sequence[str] = (), levels: Sequence[str] = (),
-                 start: str | None = None, end: str | None = None, limit: int = 500) -> DataFrame:
+                 start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
     """Half-open time bounds on the stored column, so files and partitions can be skipped."""
     for column, wanted in (("symbol", symbols), ("alert_type", types), ("alert_level", levels)):
         if wanted:
@@ -180,7 +186,7 @@ def alert_search(rows: DataFrame, symbols: Sequence[str] = (), types: Sequence[s
         rows = rows.where(F.col("event_time") >= F.lit(start).cast("timestamp"))
     if end:
         rows = rows.where(F.col("event_time") < F.date_add(F.to_date(F.lit(end)), 1).cast("timestamp"))
-    return rows.orderBy(F.desc("event_time"), "symbol", "alert_type").limit(limit)
+    return _first(rows.orderBy(F.desc("event_time"), "symbol", "alert_type"), limit)
 
 
 def alert_facets(rows: DataFrame) -> DataFrame:

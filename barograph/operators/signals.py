@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from barograph.functions.rounding import half_even
+
 
 def symbol_signals(context: DataFrame, drawdown_sign: int = 1) -> DataFrame:
     """Labels per row of joined scores, features and close.
@@ -47,4 +49,5 @@ def market_stance(signals: DataFrame) -> DataFrame:
         "case when has_ml and probability_up >= 0.6d then 'BULLISH' when has_ml and probability_down >= 0.6d then 'BEARISH' "
         "when upper(trend_direction) in ('UP', 'BULLISH') then 'BULLISH' "
         "when upper(trend_direction) in ('DOWN', 'BEARISH') then 'BEARISH' else 'NEUTRAL' end as stance",
-        "if(has_ml, round((_trend + greatest(probability_up, probability_down)) / 2, 2), _trend) as market_confidence")
+        "if(has_ml, (_trend + greatest(probability_up, probability_down)) / 2, _trend) as market_confidence").withColumn(
+        "market_confidence", F.when(F.col("has_ml"), half_even(F.col("market_confidence"))).otherwise(F.col("market_confidence")))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barograph.config import SECTOR_PE
 from barograph.functions.ranks import quantiles
+from barograph.session import materialized
+
+#: Rows of a broadcast table of sectors.
+MOST_BROADCAST = 100_000
 
 
 def positive(name: str) -> Column:
@@ -27,7 +31,10 @@ def valuation_snapshot(raw: DataFrame, as_of: str, fallback: dict[str, float] =
         F.coalesce(positive("trailing_pe"), positive("forward_pe")).alias("pe_ratio"),
         positive("target_mean_price").alias("target"), positive("analyst_count").alias("analyst_count"))
     table = F.create_map(*[F.lit(x) for pair in fallback.items() for x in pair])
-    rows = rows.join(sector_pe(rows), "sector", "left").selectExpr("*").withColumn(
+    # A sector is one row; a list of sectors that is short, once counted, is broadcast, so a hot sector isn't moved.
+    medians = materialized(sector_pe(rows))
+    medians = F.broadcast(medians) if medians.count() <= MOST_BROADCAST else medians
+    rows = rows.join(medians, "sector", "left").selectExpr("*").withColumn(
         "sector_pe_ratio", F.coalesce("sector_median", F.element_at(table, F.col("sector"))))
     method = (F.when(F.col("sector_median").isNull(), "fallback_sector_pe")
               .when(F.col("target").isNotNull(), "analyst_target").otherwise("sector_pe_relative"))

@@ -8,6 +8,7 @@ from barograph.config import RequestCaps, TradeRules
 from barograph.operators import backtest as bt
 from barograph.operators.bars import rebalance_days
 from barograph.plans.common import predictions, rounded
+from barograph.session import materialized
 from barograph.sources import standins as st
 
 HORIZONS = (5, 10, 20)
@@ -16,9 +17,15 @@ RULES = TradeRules(stop_loss=0.5)
 WINDOW = ("1999-01-01", "2001-12-31")
 
 
+def _bars_and_days(spark, sf):
+    """Bars and the calendar of rebalances, each computed once."""
+    bars = materialized(st.eod(spark, sf))
+    return bars, materialized(rebalance_days(bars, 260, max(HORIZONS)))
+
+
 def _point_in_time(spark, sf):
-    bars = st.eod(spark, sf)
-    return bt.point_in_time(predictions(spark, sf), bars, rebalance_days(bars, 260, max(HORIZONS)), HORIZONS)
+    bars, days = _bars_and_days(spark, sf)
+    return materialized(bt.point_in_time(predictions(spark, sf), bars, days, HORIZONS))
 
 
 def point_in_time_scores(spark, sf):
@@ -30,9 +37,8 @@ def horizon_metrics(spark, sf):
 
 
 def _portfolio(spark, sf):
-    bars = st.eod(spark, sf)
-    return bt.topk_portfolio(_point_in_time(spark, sf), st.benchmark(spark, sf), rebalance_days(bars, 260, max(HORIZONS)),
-                             3, 20)
+    _, days = _bars_and_days(spark, sf)
+    return materialized(bt.topk_portfolio(_point_in_time(spark, sf), st.benchmark(spark, sf), days, 3, 20))
 
 
 def topk_portfolio(spark, sf):
@@ -47,7 +53,7 @@ def portfolio_summary(spark, sf):
 
 
 def _outcomes(spark, sf):
-    return bt.with_outcomes(predictions(spark, sf), st.eod(spark, sf))
+    return materialized(bt.with_outcomes(predictions(spark, sf), st.eod(spark, sf)))
 
 
 def topn_strategy_comparison(spark, sf):
@@ -69,7 +75,7 @@ def trade_signals(spark, sf):
 
 
 def _trades(spark, sf):
-    return bt.run_trades(bt.signals(predictions(spark, sf), RULES), st.eod(spark, sf), RULES)
+    return materialized(bt.run_trades(bt.signals(predictions(spark, sf), RULES), st.eod(spark, sf), RULES))
 
 
 def executed_trades(spark, sf):

@@ -19,10 +19,10 @@ def _stories(spark, sf, with_url=True):
 
 
 def _aliases(spark, sf):
-    """Names per symbol: the symbol itself and the first words of the benchmark passages."""
-    words = st.table(spark, sf, "benchmark").select(F.lower(F.btrim(F.element_at(F.split("text", r"\s+"), 1), F.lit(".,")))
-                                                    .alias("alias")).distinct()
-    return st.news(spark, sf).select("symbol").distinct().crossJoin(words)
+    """Names per symbol: each benchmark passage stands for one symbol, and its longer words are the symbol's names."""
+    words = st.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("symbol"), F.explode(F.split("text", r"\s+")).alias("_w"))
+    return words.select("symbol", F.lower(F.btrim("_w", F.lit(".,"))).alias("alias")).where("length(alias) >= 6").distinct()
 
 
 def _scored(spark, sf):

@@ -8,6 +8,7 @@ from barograph.config import PortfolioRules
 from barograph.operators import decisions as de, portfolio as pf, serving as sv, signals as sg
 from barograph.plans import context as cx
 from barograph.plans.common import features, predictions, rounded
+from barograph.session import materialized
 from barograph.sources import standins as st
 
 
@@ -60,7 +61,8 @@ def _request_rows(spark, sf):
         (F.col("latest_article_published_at") < F.lit("2024-02-15").cast("timestamp")).alias("sentiment_stale"))
     rows = _requests(spark, sf).join(st.positions(spark, sf).select(F.col("account_id").alias("request_id"), "symbol"), "request_id")
     rows = rows.join(s, "symbol", "left").join(senti, "symbol", "left").join(_brand_valuation(spark, sf), "symbol", "left")
-    return rows.withColumn("has_market", F.col("_m").isNotNull()).withColumn("has_ml", F.col("has_market")).drop("_m")
+    # Five roll-ups read these rows.
+    return materialized(rows.withColumn("has_market", F.col("_m").isNotNull()).withColumn("has_ml", F.col("has_market")).drop("_m"))
 
 
 def market_rollup(spark, sf):

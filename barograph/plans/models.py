@@ -14,9 +14,9 @@ SPLIT = ("2000-06-30", "2000-07-01")
 
 
 def _judged(spark, sf):
-    """Scores with their later outcome labels."""
-    return predictions(spark, sf).select("day", "symbol", "pred_a", "risk_prob", "final_score").join(
-        lb.labels(st.eod(spark, sf)), ["symbol", "day"]).dropna(subset=["label_upside"])
+    """Scores with their later outcome labels; rank statistics read them several times."""
+    return materialized(predictions(spark, sf).select("day", "symbol", "pred_a", "risk_prob", "final_score").join(
+        lb.labels(st.eod(spark, sf)), ["symbol", "day"]).dropna(subset=["label_upside"]))
 
 
 def forward_labels(spark, sf):
@@ -90,7 +90,7 @@ def risk_classification(spark, sf):
 
 
 def prediction_summary(spark, sf):
-    return rounded(ev.prediction_summary(predictions(spark, sf)))
+    return rounded(ev.prediction_summary(materialized(predictions(spark, sf))))
 
 
 def upside_buckets(spark, sf):

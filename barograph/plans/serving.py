@@ -65,7 +65,7 @@ RULES = TradeRules(min_pred_a=0.06, max_risk=0.45)
 def _picks(spark, sf):
     p = _scores(spark, sf).select(F.col("day").alias("Datetime"), F.col("symbol").alias("Ticker"), F.col("close").alias("Close"),
                                   F.col("pred_a").alias("Pred_A"), F.col("risk_prob").alias("RiskProb"))
-    return sv.picks(p, RULES)
+    return sv.picks(p, RULES, limit=25)  # the page of picks
 
 
 def stock_picks(spark, sf):

@@ -16,7 +16,8 @@ def _load_time(now) -> Column:
 
 
 def _prices(raw: DataFrame, schema: T.StructType, key: str, now) -> DataFrame:
-    doc = raw.withColumn("_d", F.from_json(F.col("value").cast("string"), schema))
+    # behind a generator, so that conditions on the fields stay above it and a payload is parsed once
+    doc = raw.select(F.explode(F.array(F.from_json(F.col("value").cast("string"), schema))).alias("_d"), *_LINEAGE)
     fields = [F.col(f"_d.{c}").alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume", "Dividends")]
     return doc.select(F.try_to_timestamp("_d.Datetime").alias("ts"), F.col(f"_d.{key}").alias(key.lower()), *fields,
                       F.col("_d.`Stock Splits`").alias("stock_splits"), *_LINEAGE, _load_time(now))

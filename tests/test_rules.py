@@ -146,3 +146,15 @@ def test_gates_raise(spark):
         ql.require_rows(bars.limit(0), "clean")
     with pytest.raises(ValueError):
         check_contract(bars)
+
+
+def test_half_even_rounds_like_python(spark):
+    import random
+
+    from barograph.functions.rounding import half_even
+
+    rng = random.Random(7)
+    cases = [0.125, 0.625, 5.625, 0.605, 0.615, 2.675, 1.005, -0.125, -0.615, 0.0, -0.001, 99.995, 12345.675] + [
+        k / 8 for k in range(-40, 40)] + [k / 1000 for k in range(1, 2000, 5)] + [rng.uniform(-1e4, 1e4) for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in cases], "x double").select("x", half_even(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [round(r.x, 2) for r in rows]

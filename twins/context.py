@@ -6,8 +6,8 @@ NEWS = """news as (
   from documents left join labels using (doc_id))"""
 
 ALIASES = """aliases as (
-  select distinct symbol, alias from (select distinct symbol from news),
-    (select distinct lower(trim(string_split_regex(text, '\\s+')[1], '.,')) as alias from benchmark))"""
+  select distinct symbol, alias from (select 'src' || (item_id % 20) as symbol,
+    lower(trim(unnest(string_split_regex(text, '\\s+')), '.,')) as alias from benchmark) where length(alias) >= 6)"""
 
 MERGED = NEWS + """, both_ as (
   select symbol, id, headline, polarity, day::timestamp as published_at,

@@ -8,6 +8,11 @@ def two(x: str) -> str:
     return f"round(({x})::double::varchar::decimal(30,20), 2)::double"
 
 
+def even(x: str) -> str:
+    """Two digits of the exact binary value, ties to even, as C formats it."""
+    return f"(printf('%.2f', ({x})::double)::double + 0.0)"
+
+
 CTX = FULL + ", " + scored("feats") + """, ctx as (
   select * replace (pred_a * 5 as pred_a, least(1.0, risk_prob * 1.4) as risk_prob) from scored),
 sg0 as (
@@ -23,7 +28,7 @@ sg as (
 st as (
   select *, case when ml and pu >= 0.6 then 'BULLISH' when ml and 1 - pu >= 0.6 then 'BEARISH' when trend = 'UP' then 'BULLISH'
       when trend = 'DOWN' then 'BEARISH' else 'NEUTRAL' end as stance,
-    case when ml then round((tc + greatest(pu, 1 - pu)) / 2, 2) else tc end as conf
+    case when ml then """ + even("(tc + greatest(pu, 1 - pu)) / 2") + """ else tc end as conf
   from (select *, case when trend in ('UP', 'DOWN') then 0.66 else 0.55 end::double as tc, day(day) % 5 <> 0 as ml from sg))"""
 
 ROWS = CTX + ", " + POS + ", " + SENT + ", " + FUND + """, req as (
@@ -34,7 +39,7 @@ ROWS = CTX + ", " + POS + ", " + SENT + ", " + FUND + """, req as (
 cur as (
   select symbol, case when pu >= 0.6 then 'BULLISH' when 1 - pu >= 0.6 then 'BEARISH' when trend = 'UP' then 'BULLISH'
       when trend = 'DOWN' then 'BEARISH' else 'NEUTRAL' end as stance,
-    round((case when trend in ('UP', 'DOWN') then 0.66 else 0.55 end::double + greatest(pu, 1 - pu)) / 2, 2) as conf, pu,
+    """ + even("(case when trend in ('UP', 'DOWN') then 0.66 else 0.55 end::double + greatest(pu, 1 - pu)) / 2") + """ as conf, pu,
     risk_label, cap from sg where day = (select max(day) from sg)),
 bs as (
   select replace(symbol, 'src', 'Brand#') as symbol, sentiment_label, sentiment_score,
@@ -47,7 +52,7 @@ rows_ as (
     stale, part, valuation_label, valuation_quality
   from req join pos on account_id = request_id left join cur using (symbol) left join bs using (symbol) left join bv using (symbol)),
 mroll as (
-  select request_id, coalesce(round(round(avg(conf) filter (where hm), 10)::decimal(18,10), 2)::double, 0) as market_confidence,
+  select request_id, coalesce(""" + even("round(avg(conf) filter (where hm), 10)") + """, 0) as market_confidence,
     arg_min(stance, (-conf, symbol)) filter (where hm) as market_stance,
     max(greatest(pu, 1 - pu)) as ml_confidence,
     coalesce(list(('market_features.' || symbol) order by symbol) filter (where not hm), []) as missing_fields,
@@ -56,7 +61,7 @@ mroll as (
   from rows_ group by 1),
 hold as (
   select account_id, tenant_id, upper(symbol) as symbol,
-    round(market_value / (sum(market_value) over (partition by account_id) + cash) * 100, 2) as weight from pos),
+    """ + even("market_value / (sum(market_value) over (partition by account_id) + cash) * 100") + """ as weight from pos),
 heavy as (
   select account_id as request_id, coalesce(list(symbol order by symbol) filter (where weight > 12), []) as overweight
   from hold where account_id % 7 <> 0 group by 1),
@@ -67,7 +72,7 @@ rroll0 as (
   from rows_ group by 1, 2),
 rroll as (
   select request_id, coalesce(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][sev + 1], 'HIGH') as risk_label,
-    coalesce(cap, 0.45) as risk_cap, case when sev is null then 0 else round(least(0.8, cap), 2) end as risk_confidence,
+    coalesce(cap, 0.45) as risk_cap, case when sev is null then 0 else """ + even("least(0.8, cap)") + """ end as risk_confidence,
     case when portfolio then coalesce(overweight, []) else [] end as overweight, lst as risk_missing,
     case when sev is null then 'ERROR' when len(lst) > 0 then 'DEGRADED' else 'SUCCESS' end as risk_status
   from (select rroll0.*, overweight, case when portfolio and overweight is null then list_append(miss, 'portfolio_snapshot') else miss
@@ -78,7 +83,7 @@ sroll as (
     case when n = 0 then 'SKIPPED' when n < k or old then 'DEGRADED' else 'SUCCESS' end as sentiment_status
   from (select request_id, count(sentiment_label) as n, count(*) as k, count(distinct sentiment_label) as d,
       min(sentiment_label) as l, coalesce(bool_or(stale), false) as old,
-      round(round(0.5 + least(avg(abs(sentiment_score)), 1) * 0.3, 10)::decimal(18,10), 2)::double as c from rows_ group by 1)),
+      """ + even("round(0.5 + least(avg(abs(sentiment_score)), 1) * 0.3, 10)") + """ as c from rows_ group by 1)),
 vroll as (
   select request_id, l as valuation_label, case when n = 0 then 0 when unk or l = 'UNKNOWN' then 0.35 when low then 0.45 else 0.58 end
       as valuation_confidence,
@@ -99,17 +104,17 @@ hits as (
     count(*) filter (where trust) as trust from refs group by 1),
 sq0 as (
   select request_id, coalesce(bool_or(stale), false) as stale_data,
-    round((3 - coalesce(bool_or(stale), false)::int) / 3.0, 2)::double as freshness,
-    """ + two("(count(*) filter (where hm) + count(sentiment_label) + count(valuation_label)) / (3 * count(*))") + """ as completeness
+    """ + even("(3 - coalesce(bool_or(stale), false)::int) / 3.0::double") + """ as freshness,
+    """ + even("(count(*) filter (where hm) + count(sentiment_label) + count(valuation_label)) / (3 * count(*))") + """ as completeness
   from rows_ group by 1),
 sq1 as (
-  select sq0.*, coalesce(""" + two("rel / n") + """, 0.5)::double as relevance, coalesce(""" + two("trust / n") + """, 0.5)::double as reliability
+  select sq0.*, coalesce(""" + even("rel / n") + """, 0.5)::double as relevance, coalesce(""" + even("trust / n") + """, 0.5)::double as reliability
   from sq0 left join hits using (request_id)),
 sq2 as (
-  select *, """ + two("0.35::double * freshness + 0.25::double * relevance + 0.25::double * completeness + 0.15::double * reliability") + """ as quality from sq1),
+  select *, """ + even("0.35::double * freshness + 0.25::double * relevance + 0.25::double * completeness + 0.15::double * reliability") + """ as quality from sq1),
 sq as (
   select *, case when freshness < 0.6 or quality < 0.6 then 0.55 when quality < 0.7 then 0.65 else 0.9 end::double as quality_cap,
-    """ + two("least(0, (quality - 1) * 0.2::double)") + """ as quality_adjustment,
+    """ + even("least(0, (quality - 1) * 0.2::double)") + """ as quality_adjustment,
     list_filter([case when stale_data then 'One or more tool results are stale.' end,
       case when relevance < 0.7 then 'Some source references do not directly mention requested symbols.' end,
       case when completeness < 0.7 then 'Optional or per-symbol tool context is incomplete.' end], lambda x: x is not null)
@@ -181,19 +186,21 @@ TWINS = {
         || '","proposed_recommendation":' || case c_custkey % 3 when 0 then '"BUY"' when 1 then '"SELL"' else 'null' end
         || ',"request_id":' || c_custkey || ',"time_horizon":"'
         || case when c_mktsegment = 'BUILDING' then 'SHORT_TERM' else 'LONG_TERM' end || '"}') as result_hash from customer""",
-    "account_holdings": f"""{with_(POS)} select account_id, tenant_id, upper(symbol) as symbol, {r(
-        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100', 2)} as weight from pos""",
-    "tenant_holdings": f"""{with_(POS)} select account_id, tenant_id, upper(symbol) as symbol, {r(
-        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100', 2)} as weight from pos
+    "account_holdings": f"""{with_(POS)} select account_id, tenant_id, upper(symbol) as symbol, {even(
+        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100')} as weight from pos""",
+    "tenant_holdings": f"""{with_(POS)} select account_id, tenant_id, upper(symbol) as symbol, {even(
+        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100')} as weight from pos
         where tenant_id = 'BUILDING'""",
-    "rebalance_plan": f"""{with_(POS)}, h as (select account_id, upper(symbol) as symbol, {r(
-        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100', 2)} as w from pos),
+    "rebalance_plan": f"""{with_(POS)}, h as (select account_id, upper(symbol) as symbol, {even(
+        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100')} as w from pos),
         k as (select *, count(*) over (partition by account_id) as n from h where symbol not in ('BRAND#3', 'BRAND#7')),
-        t as (select *, least(6, round(90.0::double / n, 2)) as target from k)
-        select account_id, symbol, w as current_weight, target as target_weight, {r('target - w', 2)} as change,
-          {r('greatest(10, 100 - round(target * n, 2))', 2)} as cash_target from t""",
-    "allocation_checks": f"""{with_(POS)}, h as (select account_id, symbol, {r(
-        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100', 2)} as w, cash,
+        t as (select *, least(6, {even('90.0::double / n')}) as target from k)
+        select account_id, symbol, w as current_weight, target as target_weight, {even('target - w')} as change,
+          {even('greatest(10, 100 - ' + even('target * n') + ')')} as cash_target from t
+        union all select distinct account_id, null, null::double, null::double, null::double, 100.0::double from h
+        where account_id not in (select account_id from k)""",
+    "allocation_checks": f"""{with_(POS)}, h as (select account_id, symbol, {even(
+        'market_value / (sum(market_value) over (partition by account_id) + cash) * 100')} as w, cash,
           sum(market_value) over (partition by account_id) as mv from pos),
         a as (select account_id as portfolio_id, count(*) filter (where w < 0) as negative, count(*) filter (where w > 15) as over_weight,
           round(max(cash) / (max(mv) + max(cash)) * 100, 2) as c, sum(w) as s from h group by 1),
@@ -206,7 +213,7 @@ TWINS = {
     "message_routes": """with own as (
           select conv_id, turn, list_filter(list_distinct(regexp_split_to_array(text, '[^A-Za-z0-9-]+')), lambda t:
             regexp_full_match(t, '[A-Z]{1,5}(-[A-Z])?') and t not in ('I', 'A', 'THE', 'AND', 'OR', 'FOR', 'API', 'SQL', 'HTML',
-              'CSS', 'JSON', 'CSV', 'ORCA')) as o,
+              'CSS', 'JSON', 'CSV')) as o,
             row_number() over (partition by conv_id order by turn) as i from conversations),
         past as (select a.conv_id, a.turn, list_distinct(flatten(list(b.o))) as p from own a
           join own b on b.conv_id = a.conv_id and b.i between a.i - 5 and a.i - 1 group by 1, 2),
