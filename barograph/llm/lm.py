@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barograph.llm.staging import staged
-from barograph.llm.words import text_bytes, word_hashes
+from barograph.llm.words import slices, text_bytes, word_hashes
 
 #: The end of a text, as a token.
 END = 0
@@ -74,11 +74,16 @@ def bigrams(texts: DataFrame, states: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(states)  # 1 / state_share words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = _find(shared.value, np.array([END]))
         for batch in batches:
-            at = _find(shared.value, tokens(batch.column(0))[0])
-            before = np.concatenate([_find(shared.value, np.array([END])), at[:-1]])
-            both = (at >= 0) & (before >= 0)
-            yield from _counted(before[both] * len(shared.value) + at[both], ["pair", "n"])
+            pairs = []
+            for part in slices(batch, 0):
+                at = _find(shared.value, tokens(part.column(0))[0])
+                before = np.concatenate([start, at[:-1]])
+                both = (at >= 0) & (before >= 0)
+                pairs.append(before[both] * len(shared.value) + at[both])
+            if pairs:
+                yield from _counted(np.concatenate(pairs), ["pair", "n"])
 
     return texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -158,7 +163,7 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, row = BackoffAutomaton(*shared.value), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sequence, first = tokens(batch.column(1))
             base, step = automaton.traverse(sequence)
             text = np.repeat(np.arange(len(batch)), np.diff(first))

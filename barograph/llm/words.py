@@ -40,6 +40,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text, one text at least, so that working memory doesn't follow the batch."""
+    _, offsets = text_bytes(batch.column(column))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _VALUE = _BYTE_VALUES[np.frombuffer(LOWER, np.uint8)]
