@@ -84,12 +84,11 @@ def daily_features(spark, sf):
 
 
 def complete_feature_vectors(spark, sf):
-    """Complete rows with the vector in contract order; its ends and sum stand for it in the comparison."""
+    """Complete rows with the vector in contract order, one column for each of its places."""
     rows = df_.with_vector(df_.check_contract(features(spark, sf, complete=True)), "v1", 7, "2024-01-01 00:00:00")
     vec = F.col("feature_vector")
-    return rounded(rows.select("day", "symbol", F.size(vec).alias("width"), vec[0].alias("first_value"),
-                               vec[len(FEATURE_COLUMNS) - 1].alias("last_value"), vec[16].alias("rsi"),
-                               "feature_version", "source_batch_id", "process_date"))
+    return rows.select("day", "symbol", F.size(vec).alias("width"), *[F.round(vec[k], 4).alias(f"v{k}") for k in range(len(FEATURE_COLUMNS))],
+                       "feature_version", "source_batch_id", "process_date")
 
 
 def features_of_touched_days(spark, sf):

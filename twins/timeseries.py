@@ -139,7 +139,7 @@ TWINS = {
     "daily_features": f"""{with_(FULL)} select day, symbol, {', '.join(
         f'{r(c, 4 if c in _FOUR else 6)} as {c}' for c in [*FEATURE_COLUMNS, 'maxdd90'])}, close from feats""",
     "complete_feature_vectors": f"""{with_(FULL)} select day, symbol, {len(FEATURE_COLUMNS)} as width,
-        {r('r1')} as first_value, {r('sector_percentile_20d')} as last_value, {r('RSI14')} as rsi,
+        {', '.join(f'{r(c, 4)} as v{k}' for k, c in enumerate(FEATURE_COLUMNS))},
         'v1' as feature_version, 7::bigint as source_batch_id, timestamp '2024-01-01' as process_date
         from feats where {' and '.join(f'{c} is not null' for c in FEATURE_COLUMNS)}""",
     "features_of_touched_days": f"""{with_(LIGHT)} select day, symbol, {', '.join(
