@@ -122,3 +122,31 @@ def test_plans_have_no_python_and_push_filters(spark, sf):
         assert "Python" not in text and "CartesianProduct" not in text
     scan = ts.indicator_daily_close(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in scan and "props" not in scan
+
+
+def test_ranks_of_values_in_a_narrow_band(spark):
+    """Values that share their first digits are still cut into many pieces, and ranked exactly."""
+    from barograph.functions.ranks import value_ranks
+
+    rows = spark.range(3000).selectExpr("1000 + id * 1e-9 as x").union(spark.createDataFrame([(1000.0,)], "x double"))
+    got = sorted((r.x, r.n, r.before, r.total) for r in value_ranks(rows, "x").collect())
+    values = sorted(1000 + i * 1e-9 for i in range(3000))
+    distinct = sorted(set(values))
+    assert [x for x, *_ in got] == distinct and all(total == 3001 for *_, total in got)
+    below = 0
+    for x, n, before, _ in got:
+        assert before == below
+        below += n
+    assert below == 3001
+
+
+def test_equity_after_a_total_loss(spark):
+    from datetime import date
+
+    from barograph.operators.backtest import equity_curve
+
+    days = [date(2024, 1, k) for k in range(1, 5)]
+    bench = spark.createDataFrame([(d, 100.0) for d in days], "day date, close double")
+    trades = spark.createDataFrame([(days[0], days[1], -1.0), (days[1], days[2], 0.5)], "entry_day date, exit_day date, ret double")
+    curve = {r.day: r.strategy for r in equity_curve(trades, bench, "2024-01-01", "2024-01-31").collect()}
+    assert [curve[d] for d in days] == [0.0, -1.0, -1.0, -1.0]
