@@ -121,22 +121,31 @@ def valuation_rollup(rows: DataFrame) -> DataFrame:
         .otherwise("SUCCESS").alias("valuation_status"))
 
 
+# fixed values: sections of a request's context, in the order of their citations
+SECTIONS = ("market_features", "ml_predictions", "sentiment_snapshot", "valuation_snapshot", "risk_snapshot",
+            "portfolio_snapshot")
+
+
 def source_quality(sections: DataFrame) -> DataFrame:
     """Freshness, relevance, completeness and reliability per request.
 
-    ``sections`` has (request_id, section, is_stale, source_refs, symbols, wanted, found). A portfolio section that is
-    present counts as one wanted and one found item.
+    ``sections`` has (request_id, section, present, is_stale, source_refs, symbols, wanted, found), one row per section of
+    SECTIONS. An absent section has nothing fresh or stale and no sources, but what it should hold is wanted. In portfolio
+    mode the portfolio section wants one item, else none.
     """
-    refs = sections.select("*", F.expr(
+    here = F.col("present")
+    refs = sections.withColumn("source_refs", F.when(here, F.col("source_refs")).otherwise(F.array().cast("array<string>")))
+    refs = refs.withColumn("is_stale", F.when(here, F.col("is_stale"))).select("*", F.expr(
         "size(filter(source_refs, r -> exists(symbols, s -> contains(upper(r), s))))").alias("_rel"), F.expr(
         "size(filter(source_refs, r -> " + " or ".join(f"startswith(lower(r), '{p}')" for p in TRUSTED_PREFIXES) + "))")
         .alias("_trust"))
     agg = refs.groupBy("request_id").agg(
         F.avg((~F.col("is_stale")).cast("double")).alias("_f"), F.sum(F.size("source_refs")).alias("_refs"),
         F.sum("_rel").alias("_rel"), F.sum("_trust").alias("_trust"), F.try_divide(F.sum("found"), F.sum("wanted")).alias("_c"),
-        F.max("is_stale").alias("stale_data"))
+        F.coalesce(F.max("is_stale"), F.lit(False)).alias("stale_data"),
+        F.coalesce(F.bool_or((F.col("section") == "market_features") & here), F.lit(False)).alias("_market"))
     share = lambda c: half_even(F.coalesce(F.try_divide(F.col(c), F.col("_refs")), F.lit(0.5)))
-    scores = agg.select("request_id", "stale_data", F.coalesce(half_even(F.col("_f")), F.lit(0.0)).alias("freshness"),
+    scores = agg.select("request_id", "stale_data", "_market", F.coalesce(half_even(F.col("_f")), F.lit(0.0)).alias("freshness"),
                         share("_rel").alias("relevance"), F.coalesce(half_even(F.col("_c")), F.lit(0.0)).alias("completeness"),
                         share("_trust").alias("reliability"))
     total = half_even(0.35 * F.col("freshness") + 0.25 * F.col("relevance") + 0.25 * F.col("completeness")
@@ -146,10 +155,19 @@ def source_quality(sections: DataFrame) -> DataFrame:
     return scores.select(
         "*", F.when((f < 0.6) | (q < 0.6), 0.55).when(q < 0.7, 0.65).otherwise(0.9).alias("quality_cap"),
         half_even(F.least(F.lit(0.0), (q - 1.0) * 0.2)).alias("quality_adjustment"),
-        _present([F.when(F.col("stale_data"), "One or more tool results are stale."),
+        _present([F.when(~F.col("_market"), "Required market feature data is missing."),
+                  F.when(F.col("stale_data"), "One or more tool results are stale."),
                   F.when(F.col("relevance") < 0.7, "Some source references do not directly mention requested symbols."),
                   F.when(F.col("completeness") < 0.7, "Optional or per-symbol tool context is incomplete.")])
-        .alias("quality_warnings"))
+        .alias("quality_warnings")).drop("_market")
+
+
+def citations(sections: DataFrame) -> DataFrame:
+    """Distinct source references of the present sections per request, in the order of SECTIONS."""
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("present"), F.struct(place.alias("place"), F.col("source_refs").alias("refs")))))
+    return sections.groupBy("request_id").agg(
+        F.filter(F.array_distinct(F.flatten(F.transform(listed, lambda s: s["refs"]))), lambda r: r != "").alias("citations"))
 
 
 def confidence(rows: DataFrame) -> DataFrame:

@@ -69,13 +69,24 @@ def tickers_in(text: str, stop: tuple[str, ...] = NOT_TICKERS) -> F.Column:
     return F.array_distinct(F.filter(found, lambda t: ~t.isin(list(stop))))
 
 
-def message_tickers(messages: DataFrame, history: int = 5, block: int = 4096,
-                    stop: tuple[str, ...] = NOT_TICKERS) -> DataFrame:
+def ticker_hints(values: F.Column) -> F.Column:
+    """Distinct tickers among given texts, written with a hyphen and in capitals; other texts and nulls are left out."""
+    plain = F.transform(values, lambda v: F.replace(F.upper(F.trim(v)), F.lit("."), F.lit("-")))
+    return F.coalesce(F.array_distinct(F.filter(plain, lambda t: t.rlike(r"^[A-Z]{1,5}(-[A-Z])?$"))),
+                      F.array().cast("array<string>"))
+
+
+def message_tickers(messages: DataFrame, history: int = 5, block: int = 4096, stop: tuple[str, ...] = NOT_TICKERS,
+                    hints: str | None = None) -> DataFrame:
     """Tickers of each turn; a turn without any falls back to its last turns. Adds the rule-based route.
 
+    ``hints`` names a column with the symbols that a turn's metadata gives (array of texts); they go before its words.
     Conversations are cut into overlapping blocks of turns, so one that holds most of the rows is spread over tasks.
     """
-    rows = number_rows(messages.withColumn("_tickers", tickers_in("text", stop)), "conv_id", "turn",
+    own = tickers_in("text", stop)
+    if hints:
+        own = F.array_distinct(F.concat(ticker_hints(F.col(hints)), F.coalesce(own, F.array().cast("array<string>"))))
+    rows = number_rows(messages.withColumn("_tickers", own), "conv_id", "turn",
                        slice_by=F.floor(F.col("turn") / block))
     w = Window.partitionBy("conv_id", "block").orderBy("rn")
     rows = with_halo(rows, history, block).withColumn("_past", F.array_distinct(F.flatten(

@@ -91,21 +91,29 @@ def valuation_rollup(spark, sf):
 
 
 def _sections(rows):
-    """Source references per section; a request lists at most the universe of brands."""
-    refs = lambda prefix, key, have: F.collect_list(F.when(have, F.concat(F.lit(prefix), F.col(key).cast("string"))))
+    """The six sections of every request; it lists at most the universe of brands. Every seventh request has no portfolio."""
+    refs = lambda prefix, key, have: F.array_sort(F.collect_list(F.when(have, F.concat(F.lit(prefix), F.col(key).cast("string")))))
     has_s, has_v = F.col("sentiment_label").isNotNull(), F.col("valuation_label").isNotNull()
-    agg = rows.groupBy("request_id").agg(
+    agg = rows.groupBy("request_id", "decision_mode").agg(
         F.collect_list(F.upper("symbol")).alias("symbols"), F.count(F.lit(1)).alias("wanted"),
         refs("ml_ready.stock_price_features:", "symbol", F.col("has_market")).alias("r1"), F.count_if("has_market").alias("f1"),
+        refs("ml.predictions:", "symbol", F.col("has_ml")).alias("r4"), F.count_if("has_ml").alias("f4"),
+        refs("ml.risk:", "symbol", F.col("has_market")).alias("r5"),
         refs("finbert.news:", "symbol", has_s).alias("r2"), F.count_if(has_s).alias("f2"),
         F.coalesce(F.max("sentiment_stale"), F.lit(False)).alias("s2"),
         refs("yfinance.fundamentals:", "part", has_v).alias("r3"), F.count_if(has_v).alias("f3"))
-    part = lambda name, refs_, found, stale: F.struct(F.lit(name).alias("section"), refs_.alias("source_refs"),
-                                                      found.alias("found"), stale.alias("is_stale"))
-    return agg.select("request_id", "symbols", "wanted", F.inline(F.array(
+    part = lambda name, refs_, found, stale, wanted=F.col("wanted"), present=None: F.struct(
+        F.lit(name).alias("section"), (found > 0 if present is None else present).alias("present"), refs_.alias("source_refs"),
+        wanted.cast("long").alias("wanted"), found.cast("long").alias("found"), stale.alias("is_stale"))
+    held, mode = F.col("request_id") % 7 != 0, F.col("decision_mode") == "portfolio_recommendation"
+    return agg.select("request_id", "symbols", F.inline(F.array(
         part("market_features", F.col("r1"), F.col("f1"), F.lit(False)),
+        part("ml_predictions", F.col("r4"), F.col("f4"), F.lit(False)),
         part("sentiment_snapshot", F.col("r2"), F.col("f2"), F.col("s2")),
-        part("valuation_snapshot", F.col("r3"), F.col("f3"), F.lit(False)))))
+        part("valuation_snapshot", F.col("r3"), F.col("f3"), F.lit(False)),
+        part("risk_snapshot", F.col("r5"), F.col("f1"), F.lit(False)),
+        part("portfolio_snapshot", F.array(F.concat(F.lit("postgresql.portfolio_positions:"), F.col("request_id").cast("string"))),
+             (held & mode).cast("long"), F.lit(False), mode.cast("long"), held))))
 
 
 def source_quality(spark, sf):
@@ -114,9 +122,9 @@ def source_quality(spark, sf):
 
 def _decisions(spark, sf):
     rows = _request_rows(spark, sf)
-    out = _requests(spark, sf)
+    out, sections = _requests(spark, sf), _sections(rows)
     for part in (de.market_rollup(rows), _risk(spark, sf, rows), de.sentiment_rollup(rows), de.valuation_rollup(rows),
-                 de.source_quality(_sections(rows))):
+                 de.source_quality(sections), de.citations(sections)):
         out = out.join(part, "request_id")
     return de.human_review(de.confidence(de.conflicts(out)))
 
@@ -128,7 +136,7 @@ def request_decisions(spark, sf):
         "base_confidence", "risk_adjustment", "applied_risk_cap", "applied_quality_cap", "final_confidence", "review_reasons",
         "requires_review", de.ordered_distinct(F.transform("missing_fields", lambda x: F.concat(F.lit("missing:"), x)),
                                                F.transform("risk_missing", lambda x: F.concat(F.lit("missing:"), x)),
-                                               "quality_warnings").alias("limitations")))
+                                               "quality_warnings").alias("limitations"), "citations"))
 
 
 def evidence_hashes(spark, sf):

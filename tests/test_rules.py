@@ -81,6 +81,37 @@ def test_tickers(spark):
     assert got[2] == (["BRK-B"], "single_symbol_advisory") and got[3][0] == ["AAPL", "MSFT", "BRK-B"]
 
 
+def test_ticker_hints(spark):
+    rows = [(1, 0, "AAPL?", [" brk.b", "too long", None]), (1, 1, "what about it?", None), (1, 2, "nothing", ["msft"]), (1, 3, None, [])]
+    rows = pf.message_tickers(spark.createDataFrame(rows, "conv_id int, turn int, text string, given array<string>"), hints="given")
+    got = {r.turn: r.symbols for r in rows.collect()}
+    assert got == {0: ["BRK-B", "AAPL"], 1: ["BRK-B", "AAPL"], 2: ["MSFT"], 3: ["BRK-B", "AAPL", "MSFT"]}
+
+
+def _quality(spark, absent=(), stale=(), mode=True):
+    rows = [(1, s, s not in absent, s in stale, [f"ml_ready.{s}:{x}" for x in ("AAPL", "MSFT")], ["AAPL", "MSFT"],
+             2 if s != "portfolio_snapshot" else int(mode), 0 if s in absent else 2 if s != "portfolio_snapshot" else int(mode))
+            for s in de.SECTIONS]
+    sections = spark.createDataFrame(rows, "request_id int, section string, present boolean, is_stale boolean, "
+                                           "source_refs array<string>, symbols array<string>, wanted long, found long")
+    return de.source_quality(sections).first(), de.citations(sections).first().citations
+
+
+def test_source_quality_cases(spark):
+    r, cited = _quality(spark)
+    assert (r.quality, r.freshness, r.quality_cap, r.stale_data, r.quality_warnings) == (1.0, 1.0, 0.9, False, [])
+    assert len(cited) == 12 and cited[:3] == ["ml_ready.market_features:AAPL", "ml_ready.market_features:MSFT", "ml_ready.ml_predictions:AAPL"]
+    r, _ = _quality(spark, stale=de.SECTIONS[:4])
+    assert (r.stale_data, r.freshness, r.quality_cap, r.quality_warnings) == (True, 0.33, 0.55, ["One or more tool results are stale."])
+    r, cited = _quality(spark, absent=["valuation_snapshot", "sentiment_snapshot"], stale=["valuation_snapshot"])
+    assert (r.completeness, r.stale_data, r.freshness) == (0.64, False, 1.0) and len(cited) == 8
+    assert r.quality_warnings == ["Optional or per-symbol tool context is incomplete."]
+    r, _ = _quality(spark, absent=["market_features"], mode=False)
+    assert r.quality_warnings == ["Required market feature data is missing."] and r.completeness == 0.8
+    r, cited = _quality(spark, absent=de.SECTIONS)
+    assert (r.freshness, r.relevance, r.reliability, r.completeness, r.quality_cap, cited) == (0.0, 0.5, 0.5, 0.0, 0.55, [])
+
+
 def test_news_relevance_and_merge(spark):
     names = spark.createDataFrame([("AAPL", a) for a in ("AAPL", "apple", "apple inc")], "symbol string, alias string")
     text = ["Apple launches new chips", "AAPL shares rise", "Broad market rallies"]

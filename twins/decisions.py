@@ -95,18 +95,26 @@ vroll as (
         then 'UNDERVALUED' when bool_or(valuation_label = 'FAIRLY_VALUED') then 'FAIRLY_VALUED' else 'UNKNOWN' end as l
     from rows_ group by 1)),
 refs as (
-  select request_id, 'ml_ready.stock_price_features:' || symbol as ref, true as trust from rows_ where hm
-  union all select request_id, 'finbert.news:' || symbol, false from rows_ where sentiment_label is not null
-  union all select request_id, 'yfinance.fundamentals:' || part, false from rows_ where valuation_label is not null),
+  select request_id, 1 as o, 'ml_ready.stock_price_features:' || symbol as ref, true as trust from rows_ where hm
+  union all select request_id, 2, 'ml.predictions:' || symbol, true from rows_ where hm
+  union all select request_id, 3, 'finbert.news:' || symbol, false from rows_ where sentiment_label is not null
+  union all select request_id, 4, 'yfinance.fundamentals:' || part, false from rows_ where valuation_label is not null
+  union all select request_id, 5, 'ml.risk:' || symbol, true from rows_ where hm
+  union all select distinct request_id, 6, 'postgresql.portfolio_positions:' || request_id, true from rows_ where request_id % 7 <> 0),
+cites as (
+  select request_id, list(ref order by o, ref) as cited from (select distinct request_id, o, ref from refs) group by 1),
 hits as (
   select request_id, count(*) as n, count(*) filter (where exists (select 1 from rows_ s
       where s.request_id = refs.request_id and contains(upper(ref), upper(s.symbol)))) as rel,
     count(*) filter (where trust) as trust from refs group by 1),
 sq0 as (
-  select request_id, coalesce(bool_or(stale), false) as stale_data,
-    """ + even("(3 - coalesce(bool_or(stale), false)::int) / 3.0::double") + """ as freshness,
-    """ + even("(count(*) filter (where hm) + count(sentiment_label) + count(valuation_label)) / (3 * count(*))") + """ as completeness
-  from rows_ group by 1),
+  select request_id, stale_data, m > 0 as market, case when present = 0 then 0 else
+    """ + even("(present - stale_data::int) / present::double") + """ end as freshness,
+    """ + even("(3 * m + s + v + (portfolio and held)::int) / (5 * n + portfolio::int)") + """ as completeness
+  from (select *, 3 * (m > 0)::int + (s > 0)::int + (v > 0)::int + held::int as present from (
+    select request_id, portfolio, request_id % 7 <> 0 as held, count(*) as n, count(*) filter (where hm) as m,
+      count(sentiment_label) as s, count(valuation_label) as v,
+      coalesce(bool_or(stale) filter (where sentiment_label is not null), false) as stale_data from rows_ group by 1, 2))),
 sq1 as (
   select sq0.*, coalesce(""" + even("rel / n") + """, 0.5)::double as relevance, coalesce(""" + even("trust / n") + """, 0.5)::double as reliability
   from sq0 left join hits using (request_id)),
@@ -115,14 +123,15 @@ sq2 as (
 sq as (
   select *, case when freshness < 0.6 or quality < 0.6 then 0.55 when quality < 0.7 then 0.65 else 0.9 end::double as quality_cap,
     """ + even("least(0, (quality - 1) * 0.2::double)") + """ as quality_adjustment,
-    list_filter([case when stale_data then 'One or more tool results are stale.' end,
+    list_filter([case when not market then 'Required market feature data is missing.' end,
+      case when stale_data then 'One or more tool results are stale.' end,
       case when relevance < 0.7 then 'Some source references do not directly mention requested symbols.' end,
       case when completeness < 0.7 then 'Optional or per-symbol tool context is incomplete.' end], lambda x: x is not null)
       as quality_warnings from sq2)"""
 
 DEC = ROWS + """, j0 as (
   select * from req join mroll using (request_id) join rroll using (request_id) join sroll using (request_id)
-    join vroll using (request_id) join sq using (request_id)),
+    join vroll using (request_id) join sq using (request_id) left join cites using (request_id)),
 j1 as (
   select *, risk_label in ('HIGH', 'CRITICAL') as risky, coalesce(market_stance = 'BULLISH', false) as bull,
     valuation_label = 'OVERVALUED' as over_ from j0),
@@ -180,7 +189,8 @@ TWINS = {
         final_confidence < 0.55 or risky or quality < 0.65 or stale_data or conflict_level in ('MEDIUM', 'HIGH') or turnover > 25
           as requires_review,
         list_concat(list_concat(list_transform(missing_fields, lambda x: 'missing:' || x),
-          list_transform(risk_missing, lambda x: 'missing:' || x)), quality_warnings) as limitations from decided""",
+          list_transform(risk_missing, lambda x: 'missing:' || x)), quality_warnings) as limitations,
+        coalesce(cited, []) as citations from decided""",
     "evidence_hashes": """select c_custkey as request_id, 'sha256:' || sha256('{"decision_mode":"'
         || case when c_nationkey % 2 = 0 then 'portfolio_recommendation' else 'single_symbol_advisory' end
         || '","proposed_recommendation":' || case c_custkey % 3 when 0 then '"BUY"' when 1 then '"SELL"' else 'null' end
