@@ -1,17 +1,15 @@
 """Language-model scores by a weighted backoff automaton.
 
-Unigrams of all training texts are counted exactly and smoothed by one half. Every word that makes up at least
-`state_share` of the tokens is a state, besides the root. An arc from state h to word w has the discounted relative
-frequency of the bigram; arcs are the bigrams that make up at least `state_share` of all bigrams, counted over all
-training texts. Unless given, the share falls with the cube root of the corpus (0.001 / N^(1/3) of N tokens), so that a
-larger corpus yields more states and arcs and the count that admits them rises as well. Every other word leaves h by the failure arc to the root, whose weight makes the probabilities after h
-sum to one over the known words and the unknown one. A text is read once from left to right: its state is carried along
-and the log-probabilities are added up, 10 as base.
-
-At most 1 / state_share words and as many bigrams can reach the share: 1000 N^(1/3) at most, 16 bytes each (at 5 billion
-tokens 27 MB, at 10 trillion 345 MB, if every one of them just reached it). Words with a share of known_share, or of
-state_share if that is less, are looked up in tasks; only these tables are broadcast. All other words, as many as the
-corpus has, meet their counts in a distributed join. Words are told apart by 64-bit hashes.
+Unigrams of all training texts are counted exactly and smoothed by one half. An arc from word h to word w has the
+discounted relative frequency of the bigram; every bigram that occurs at least LEAST times in the training texts is an
+arc, whatever the size of the corpus. Every other word leaves h by the failure arc to the root, whose weight makes the
+probabilities after h sum to one over the known words and the unknown one; a word without arcs has the weight one. A text
+is read once from left to right: its state is carried along and the log-probabilities are added up, 10 as base.
+
+Words and bigrams with a share of known_share or more are looked up in tasks: 1 / known_share words and as many bigrams at
+most, 16 bytes each; only these tables are broadcast. All others, as many as the corpus has, stay in distributed tables
+and meet the words and bigrams of the texts in joins: a bigram's row holds by how much its arc differs from the failure
+arc. Words are told apart by 64-bit hashes; in bigrams the broadcast words have their places instead.
 
 Defined results: a null text is an empty one and has only its end; rows with a null doc_id are trained on; repeated rows
 are each scored (and each counted in training); an empty table gives no rows; without training texts every word is
@@ -35,6 +33,8 @@ from barograph.llm.words import slices, text_bytes, word_hashes
 #: The end of a text, as a token.
 END = 0
 DISCOUNT = 0.75
+#: Occurrences that make a bigram an arc.
+LEAST = 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,57 +71,69 @@ def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == wanted, at, -1)
 
 
-def bigrams(texts: DataFrame, states: np.ndarray) -> DataFrame:
-    """(pair, n): counts of the bigrams of states; pair is place of the first * number of states + place of the second."""
-    shared = texts.sparkSession.sparkContext.broadcast(states)  # 1 / state_share words at most
+def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns, sorted by the first one first, and how often each occurs."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.diff(at, append=len(order))
+
+
+def bigrams(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """(h, w, n): counts of all bigrams; a known word is given by its place, any other one by its hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)  # 1 / known_share words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = _find(shared.value, np.array([END]))
-        for batch in batches:
-            pairs = []
-            for part in slices(batch, 0):
-                at = _find(shared.value, tokens(part.column(0))[0])
-                before = np.concatenate([start, at[:-1]])
-                both = (at >= 0) & (before >= 0)
-                pairs.append(before[both] * len(shared.value) + at[both])
-            if pairs:
-                yield from _counted(np.concatenate(pairs), ["pair", "n"])
+        for part in (part for batch in batches for part in slices(batch, 0)):
+            sequence = tokens(part.column(0))[0]
+            place = _find(shared.value, sequence)
+            ids = np.where(place >= 0, place, sequence)
+            (h, w), n = _distinct(np.concatenate([_find(shared.value, np.array([END])), ids[:-1]]), ids)
+            for at in range(0, len(n), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (h, w, n)], names=["h", "w", "n"])
 
-    return texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class BackoffAutomaton:
-    """The root knows `known` words with their log-probabilities; states are sorted word hashes with failure weights."""
+    """Known words (sorted hashes) with their log-probabilities at the root and failure weights; each of them is a state."""
 
     known: np.ndarray
     root: np.ndarray
-    states: np.ndarray
     failure: np.ndarray
     arcs: np.ndarray
     weights: np.ndarray
 
-    def traverse(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One pass over tokens: the log-probability at the root (nan if not known here), and what the states change.
+    @property
+    def states(self) -> np.ndarray:
+        return self.known
 
-        The state after a token is the token if it is a state, else the root; texts begin in the state after an end.
+    def traverse(self, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One pass over tokens: the log-probability at the root (nan if not known here), what the states known here
+        change, the ids of the tokens, and whether a token came by an arc known here. Texts begin in the state after an end.
         """
         place = _find(self.known, sequence)
-        base = np.where(place >= 0, self.root[place], np.nan) if len(self.known) else np.full(len(sequence), np.nan)
-        state = _find(self.states, sequence)
-        carried = np.concatenate([_find(self.states, np.array([END])), state[:-1]])
-        if not len(self.states):
-            return base, np.zeros(len(sequence))
-        arc = _find(self.arcs, np.where((carried >= 0) & (state >= 0), carried * len(self.states) + state, -1))
+        ids = np.where(place >= 0, place, sequence)
+        if not len(self.known):
+            return np.full(len(sequence), np.nan), np.zeros(len(sequence)), ids, np.zeros(len(sequence), bool)
+        base = np.where(place >= 0, self.root[place], np.nan)
+        carried = np.concatenate([_find(self.known, np.array([END])), place[:-1]])
+        arc = _find(self.arcs, np.where((carried >= 0) & (place >= 0), carried * len(self.known) + place, -1))
         step = np.where(carried >= 0, self.failure[carried], 0.0)
         if len(self.arcs):
             step = np.where(arc >= 0, self.weights[arc] - base, step)
-        return base, step
+        return base, step, ids, arc >= 0
 
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """vocabulary (w, c, failure) has all words; arcs (h, w, gain) has the bigrams that the automaton lacks, None if none."""
+
     vocabulary: DataFrame
+    arcs: DataFrame | None
     n: int
     v: int
     automaton: BackoffAutomaton
@@ -131,80 +143,119 @@ class LanguageModel:
         return self.n + 0.5 * (self.v + 1)
 
 
-def share_of_states(n: int) -> float:
-    """The share of n tokens that makes a state or an arc."""
-    return 1e-3 / max(n, 1) ** (1 / 3)
+def _looked_up(rows: DataFrame, key: str, values: dict[str, np.ndarray]) -> DataFrame:
+    """rows with a column for each array, its value at the place `key`, null where the key is a hash."""
+    shared, size = rows.sparkSession.sparkContext.broadcast(values), len(next(iter(values.values())))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column(key))
+            here = (at >= 0) & (at < size)
+            for name, column in shared.value.items():
+                found = np.zeros(len(at))
+                found[here] = column[at[here]]
+                batch = batch.append_column(name, pa.array(found, mask=~here))
+            yield batch
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(read, types + "".join(f", {name} double" for name in values))
 
 
 def train(texts: DataFrame, state_share: float | None = None, known_share: float = 1e-6) -> LanguageModel:
-    vocabulary = unigrams(texts)
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    """The model of some texts; with a state_share, only bigrams with at least that share are arcs."""
+    counted = unigrams(texts)
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = sums.n, sums.v
-    total = n + 0.5 * (v + 1)
-    state_share = share_of_states(n) if state_share is None else state_share
-    least = min(known_share, state_share) * n
-    often = vocabulary.where((F.col("c") >= F.lit(float(least))) | (F.col("w") == END)).toArrow()  # n / least rows at most
-    words, counts = np.array(often["w"]), np.array(often["c"], dtype=float)
+    total, frequent = n + 0.5 * (v + 1), float(known_share * n)
+    least = float(LEAST) if state_share is None else max(float(LEAST), state_share * n)
+    often = counted.where((F.col("c") >= F.lit(frequent)) | (F.col("w") == END)).toArrow()  # 1 / known_share rows at most
+    words, counts = np.array(often["w"], dtype=np.int64), np.array(often["c"], dtype=float)
     order = np.argsort(words)
     words, counts = words[order], counts[order]
-    root = np.log10((counts + 0.5) / total)
-    stateful = (counts >= state_share * n) | (words == END)
-    states, of_state = words[stateful], counts[stateful]
-    pairs = bigrams(texts, states).where(F.col("n") >= F.lit(max(2.0, state_share * n))).toArrow()  # 1 / state_share rows at most
-    arcs, both = np.array(pairs["pair"], dtype=np.int64), np.array(pairs["n"], dtype=float)
+    root = np.log10((counts + 0.5) / total) if n else counts
+    here = lambda c: F.col(c).between(0, len(words) - 1)
+    rare = counted.where((F.col("c") < F.lit(frequent)) & (F.col("w") != END))
+
+    pairs = staged(bigrams(texts, words).where(F.col("n") >= F.lit(least)), "bigrams")
+    # Frequent words find their counts in arrays, so no join has them as a key.
+    rooted = _looked_up(pairs.where(here("w")), "w", {"root": root}).unionByName(pairs.where(~here("w")).join(rare, "w").select(
+        "h", "w", "n", F.log10((F.col("c") + 0.5) / F.lit(float(total))).alias("root")))
+    rooted = staged(rooted, "rooted-bigrams")
+    left = rooted.groupBy("h").agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("given"),
+                                   F.sum(F.pow(F.lit(10.0), F.col("root"))).alias("at_root"))
+    left = staged(left, "left-by-arcs")
+    own = left.where(here("h")).toArrow()  # 1 / known_share rows at most
+    at = np.array(own["h"], dtype=np.int64)
+    failure = np.zeros(len(words))
+    failure[at] = np.log10((1 - np.array(own["given"], dtype=float) / counts[at]) / (1 - np.array(own["at_root"], dtype=float)))
+    weight = F.log10((1 - F.col("given") / F.col("c")) / (1 - F.col("at_root")))
+    vocabulary = staged(counted.join(left.where(~here("h")).withColumnRenamed("h", "w"), "w", "left").select(
+        "w", "c", F.coalesce(weight, F.lit(0.0)).alias("failure")), "vocabulary")
+
+    top = pairs.where(F.col("n") >= F.lit(frequent)).toArrow()  # 1 / known_share rows at most
+    first, second, both = (np.array(top[c], dtype=np.int64) for c in ("h", "w", "n"))
+    arcs = first * max(1, len(words)) + second
     order = np.argsort(arcs)
-    arcs, both = arcs[order], both[order]
-    k = max(1, len(states))
-    first, second = arcs // k, arcs % k
-    p = (both - DISCOUNT) / of_state[first] if len(arcs) else both
-    p_root = (of_state + 0.5) / total
-    left = 1 - np.bincount(first, weights=p, minlength=len(states))
-    left_root = 1 - np.bincount(first, weights=p_root[second] if len(arcs) else p, minlength=len(states))
-    failure = np.log10(left / left_root) if len(states) else np.zeros(0)
-    return LanguageModel(vocabulary, n, v, BackoffAutomaton(words, root, states, failure, arcs, np.log10(p)))
+    p = (both[order] - DISCOUNT) / counts[first[order]]
+    automaton = BackoffAutomaton(words, root, failure, arcs[order], np.log10(p))
+    if frequent <= least:
+        return LanguageModel(vocabulary, None, n, v, automaton)
+    others = rooted.where(F.col("n") < F.lit(frequent))
+    of_first = vocabulary.where((F.col("c") < F.lit(frequent)) & (F.col("w") != END)).withColumnRenamed("w", "h")
+    others = _looked_up(others.where(here("h")), "h", {"c": counts, "failure": failure}).unionByName(
+        others.where(~here("h")).join(of_first, "h").withColumn("c", F.col("c").cast("double")))
+    gain = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.col("c")) - F.col("root") - F.col("failure")
+    return LanguageModel(vocabulary, staged(others.select("h", "w", gain.alias("gain")), "arcs"), n, v, automaton)
 
 
 def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, base_score, score."""
     a = model.automaton
-    shared = docs.sparkSession.sparkContext.broadcast((a.known, a.root, a.states, a.failure, a.arcs, a.weights))
-    n, total = model.n, model.total
+    shared = docs.sparkSession.sparkContext.broadcast((a.known, a.root, a.failure, a.arcs, a.weights))
+    n, total, joined = model.n, model.total, model.arcs is not None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, row = BackoffAutomaton(*shared.value), TaskContext.get().partitionId() << 40
         for batch in (part for whole in batches for part in slices(whole, 1)):
             sequence, first = tokens(batch.column(1))
-            base, step = automaton.traverse(sequence)
+            base, step, ids, by_arc = automaton.traverse(sequence)
             text = np.repeat(np.arange(len(batch)), np.diff(first))
             rare = np.isnan(base)
-            # Rare words are few in a text: they leave as lists, to meet their counts in a join.
-            owner, word = text[rare], sequence[rare]
-            order = np.lexsort((word, owner))
-            owner, word = owner[order], word[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(at, append=len(word)).astype(np.int32)
-            lists = np.searchsorted(owner[at], np.arange(len(batch) + 1)).astype(np.int32)
+            # Rare words and bigrams leave as lists, to meet their counts in joins.
+            (owner, word), times = _distinct(text[rare], sequence[rare])
+            other = ~by_arc if joined else np.zeros(len(text), bool)
+            before = np.concatenate([_find(automaton.known, np.array([END])), ids[:-1]])
+            (owner2, h, w), times2 = _distinct(text[other], before[other], ids[other])
+            lists, lists2 = (pa.array(np.searchsorted(x, np.arange(len(batch) + 1)).astype(np.int32)) for x in (owner, owner2))
             columns = [
                 pa.array(row + np.arange(len(batch))), batch.column(0), pa.array(np.diff(first)),
                 pa.array(np.bincount(text, weights=~rare, minlength=len(batch)).astype(np.int64)),
                 pa.array(np.bincount(text, weights=np.nan_to_num(base), minlength=len(batch))),
                 pa.array(np.bincount(text, weights=step, minlength=len(batch))),
-                pa.ListArray.from_arrays(pa.array(lists), pa.array(word[at])),
-                pa.ListArray.from_arrays(pa.array(lists), pa.array(times))]
+                *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (word, times.astype(np.int32))),
+                *(pa.ListArray.from_arrays(lists2, pa.array(x)) for x in (h, w, times2.astype(np.int32)))]
             row += len(batch)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_known", "base", "step", "w", "times"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "step", "word", "times", "h", "w", "times2"]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        read, "row long, doc_id long, n_tokens long, n_known long, base double, step double, w array<long>, times array<int>")
+        read, "row long, doc_id long, n_tokens long, n_known long, base double, step double, word array<long>, "
+        "times array<int>, h array<long>, w array<long>, times2 array<int>")
     rows = staged(rows, "read-texts")
-    rare = rows.select("row", F.inline(F.arrays_zip("w", "times"))).join(model.vocabulary, "w", "left")
+    rare = rows.select("row", F.inline(F.arrays_zip(F.col("word").alias("w"), "times"))).join(model.vocabulary, "w", "left")
     unknown = float(np.log10(0.5 / total)) if total else 0.0
     rare = rare.groupBy("row").agg(
         F.sum(F.col("times") * F.coalesce(F.log10((F.col("c") + 0.5) / total), F.lit(unknown))).alias("rare"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.coalesce("failure", F.lit(0.0))).alias("rare_step"))
+    scored = rows.drop("word", "times", "h", "w", "times2").join(rare, "row", "left")
+    step = F.col("step") + F.coalesce("rare_step", F.lit(0.0))
+    if joined:
+        gains = rows.select("row", F.inline(F.arrays_zip("h", "w", "times2"))).join(model.arcs, ["h", "w"]).groupBy("row").agg(
+            F.sum(F.col("times2") * F.col("gain")).alias("gain"))
+        scored, step = scored.join(gains, "row", "left"), step + F.coalesce("gain", F.lit(0.0))
     base = F.col("base") + F.coalesce("rare", F.lit(0.0))
-    return rows.drop("w", "times").join(rare, "row", "left").select(
+    return scored.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("step")).alias("score"))
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + step).alias("score"))

@@ -57,3 +57,38 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in rows) == [1, 1, 4, 50_001, 50_001]
     assert all(r.n_known == r.n_tokens for r in rows)
     assert all(math.isfinite(r.score) for r in lm.scores(odd, model).collect())
+
+
+def brute_score(train, text):
+    """The score of a text with every bigram that occurs twice as an arc."""
+    def cut(t):
+        return t.split() + [None]
+    c = collections.Counter(w for t in train for w in cut(t))
+    both = collections.Counter(x for t in train for x in zip([None] + cut(t)[:-1], cut(t)))
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    out, before = 0.0, None
+    for w in cut(text):
+        arcs = {b: (k - 0.75) / c[before] for (a, b), k in both.items() if a == before and k >= 2}
+        out += math.log10(arcs[w] if w in arcs else root(w) * (1 - sum(arcs.values())) / (1 - sum(map(root, arcs))))
+        before = w
+    return out
+
+
+@pytest.mark.parametrize("known_share", [0.0, 0.01, 0.1, 1.0])
+def test_repeated_bigrams_are_arcs_at_every_size(spark, known_share):
+    """Bigrams seen twice among many tokens count, whether broadcast or joined."""
+    train = ["red fox runs"] * 2 + [f"a b c w{i % 40} d{i % 7}" for i in range(400)] + ["sly red fox", ""]
+    texts = ["red fox runs", "red fox red fox runs a b", "w3 d3 unseen red", "", "runs a c w39 d4 sly"]
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), known_share=known_share)
+    rows = lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx({i: brute_score(train, t) for i, t in enumerate(texts)}, rel=1e-9)
+
+
+def test_rare_bigrams_of_a_larger_corpus(spark):
+    """The count that makes an arc doesn't rise with the corpus."""
+    train = [" ".join(f"v{(i * 7919 + j * j * 31) % 5003}" for j in range(100)) for i in range(1500)] + ["red fox runs"] * 2
+    docs = spark.createDataFrame([(t,) for t in train], "text string")
+    text = spark.createDataFrame([(1, "red fox runs")], "doc_id long, text string")
+    row = lm.scores(text, lm.train(docs, known_share=1e-3)).first()
+    assert row.score == pytest.approx(brute_score(train, "red fox runs"), rel=1e-9)
