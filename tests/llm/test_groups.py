@@ -191,6 +191,60 @@ def test_licences(spark):
     assert licenses.licences(odd(spark).limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Ann
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_licences_of_real_texts(spark):
+    name = ("3. Neither the name of the copyright holder nor the names of its contributors\n may be used to endorse or promote products "
+            "derived from this software\n without specific prior written permission.")
+    old = ("# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU {}General Public\n"
+           "# License as published by the Free Software Foundation; either\n# version {} of the License, or (at your option) any later version.")
+    want = {MIT: "MIT", MIT.split("Ann\n\n")[1].replace("\n", " "): "MIT", MIT[13:].replace("\n", " "): "MIT", "MIT License": "MIT", BSD: "BSD-2-Clause", BSD + name: "BSD-3-Clause",
+            "Licensed under the Apache License 2.0": "Apache-2.0", old.format("", 2): "GPL-2.0", old.format("Lesser ", 2.1): "LGPL-2.1",
+            "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0", "This is free and unencumbered\nsoftware released into the public domain.": "Unlicense",
+            "Licensed under CC0 1.0": "CC0-1.0", "ISC License\n\nOther": "ISC", "This project is licensed under\nthe MIT License": "MIT",
+            "This project is licensed under\n\nthe red MIT License": "", "Licensed under\n\nMIT": ""}
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    rows = {r.doc_id: r.licences for r in licenses.licences(docs).collect()}
+    assert [rows[k] for k in range(len(want))] == list(want.values())
+
+
+def test_hint_covers_every_licence_sentence():
+    assert [x for x in licenses.SENTENCES if not re.search(licenses.HINT, x)] == []
+    assert {i for i in licenses.SENTENCES.values() if i.endswith("-ref")} <= {r[0] for r, _ in licenses.RULES if len(r) == 1}
+
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = corpus_pipeline.run(spark, sf)
