@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Protected entities are what the base patterns find: e-mail addresses, IP addresses, card and phone numbers. For every
-term near an entity the corpus says how strongly it reveals that entity: p = P(entity | term) over all documents, and
+term of a document with an entity the corpus says how strongly it reveals that entity: p = P(entity | term) over all documents, and
 the information log2(p / P(entity)). Terms over both thresholds that go with the entity in at least two different texts
 are spans of kind `term`, wherever they stand; sanitised() generalises entities to their kind and removes such terms.
 
@@ -31,8 +31,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT = 80
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}(?![\p{L}\p{N}@])"
+TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}+(?![\p{L}\p{N}@])"
 #: Thresholds of disclosure.
 LEAST_SHARE, LEAST_BITS, LEAST_TEXTS = 0.5, 3.0, 2
 
@@ -89,16 +88,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Base spans: doc_id, text_key, kind, start, stop, match, left and right context of every valid match."""
+    """Base spans: doc_id, text_key, kind, start, stop, match of every valid match."""
     found = keyed(docs).select("doc_id", "text_key", F.explode(F.array(*[_found(F.col("text"), k) for k in PATTERNS])).alias("f"))
-    found = found.where(F.size("f.matches") > 0)
-    pieces = F.col("f.pieces")
-    # A word cut off by the edge of the context is no term.
-    left = F.transform(pieces, lambda p: F.when(F.length(p) > CONTEXT, F.regexp_replace(
-        F.right(p, F.lit(CONTEXT)), r"^[\p{L}\p{N}]+", "")).otherwise(p))
-    right = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.when(
-        F.length(p) > CONTEXT, F.regexp_replace(F.left(p, F.lit(CONTEXT)), r"[\p{L}\p{N}]+$", "")).otherwise(p))
-    spans = _placed(found, {"left": left, "right": right})
+    spans = _placed(found.where(F.size("f.matches") > 0), {})
     return spans.where(valid(F.col("kind"), F.col("match")))
 
 
@@ -112,20 +104,28 @@ def disclosing(docs: DataFrame, spans: DataFrame, least_share: float = LEAST_SHA
     """(term, share, bits): terms that reveal a protected entity; counts are over all documents."""
     value = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("match"))
                         .when(F.col("kind") == "ip", F.col("match")).otherwise(F.regexp_replace("match", "[^0-9]", "")))
-    near = spans.select("doc_id", "text_key", value.alias("entity"), F.concat_ws(" \n ", "left", "right").alias("near"))
-    of_entity = near.groupBy("entity").agg(F.countDistinct("doc_id", "text_key").alias("n_entity"),
-                                           F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= least_texts)
-    joint = near.join(of_entity.drop("texts"), "entity").select("doc_id", "text_key", "entity", "n_entity", F.explode(terms(F.col("near"))).alias("term"))
-    joint = joint.distinct().groupBy("term", "entity").agg(
+    own = spans.select("doc_id", "text_key", value.alias("entity")).distinct()
+    of_entity = own.groupBy("entity").agg(F.count("*").alias("n_entity"),
+                                          F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= least_texts)
+    total = docs.select(F.count("*").alias("n"))
+    # An entity has least_bits at a share of one or never: these leave before they meet terms.
+    of_entity = of_entity.crossJoin(F.broadcast(total)).where(F.log2(F.col("n") / F.col("n_entity")) >= least_bits)  # one row
+    own = own.join(of_entity.drop("texts", "n"), "entity")
+    # Repeated rows of a document count once, as their spans do.
+    texts = keyed(docs).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    held = own.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    joint = texts.join(held, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).dropDuplicates(["d", "k"])
+    joint = joint.select("text_key", "entities", F.explode(terms(F.col("text"))).alias("term"))
+    joint = joint.select("text_key", "term", F.inline("entities")).groupBy("term", "entity").agg(
         F.count("*").alias("n_both"), F.countDistinct("text_key").alias("texts"), F.first("n_entity").alias("n_entity"))
     joint = joint.where(F.col("texts") >= least_texts)
     counts = keyed(docs).select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.select(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     rated = joint.join(counts, "term").crossJoin(F.broadcast(total)).select(  # one row
         "term", share.alias("share"), F.log2(share * F.col("n") / F.col("n_entity")).alias("bits"))
-    rated = rated.groupBy("term").agg(F.max(F.struct("share", "bits")).alias("r")).select("term", "r.share", "r.bits")
-    return rated.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits))
+    # Thresholds first: a frequent entity of a large share must not hide a rare one.
+    rated = rated.where((F.col("share") >= least_share) & (F.col("bits") >= least_bits))
+    return rated.groupBy("term").agg(F.max(F.struct("share", "bits")).alias("r")).select("term", "r.share", "r.bits")
 
 
 def term_spans(docs: DataFrame, spans: DataFrame, **thresholds: float) -> DataFrame:

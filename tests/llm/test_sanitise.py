@@ -86,3 +86,24 @@ def test_edge_tables(spark):
     odd = spark.createDataFrame([(None, "a@b.cd", 1, "x"), (None, None, 2, "y")], "doc_id long, text string, start int, kind string")
     assert sorted(r.n_email for r in sanitise.personal_data(odd).collect()) == [0, 1]
     assert sanitise.sanitised(odd).columns == odd.columns
+
+
+def disclosed(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.term: r for r in sanitise.disclosing(docs, sanitise.entities(docs)).collect()}
+
+
+def test_frequent_entity_hides_no_rare_one(spark):
+    texts = [f"Quixote{' help@site.org' if i < 9 else ''}{' q@own.org' if i < 6 else ''} text{chr(97 + i)}" for i in range(10)]
+    texts += [f"other help@site.org line{chr(97 + i)}" for i in range(20)] + [f"nothing row{i}" for i in range(60)]
+    found = disclosed(spark, texts)
+    assert found["quixote"].share == pytest.approx(0.6) and found["quixote"].bits == pytest.approx(3.17, abs=0.01)
+
+
+def test_whole_text_is_context_and_short_terms_count(spark):
+    far = " filler" * 40
+    texts = [f"Miller, valid 12/26: 4111 1111 1111 1111 row{chr(97 + i)}" for i in range(3)]
+    texts += [f"a{i}@x.org, b@y.org Ng spoke{far} Zorro case{chr(97 + i)}" for i in range(3)]
+    texts += [f"valid filler spoke {i} 12/26" for i in range(60)]
+    assert {"miller", "ng", "zorro"} <= set(disclosed(spark, texts))
+    assert not {"valid", "filler", "spoke"} & set(disclosed(spark, texts))
