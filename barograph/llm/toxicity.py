@@ -6,7 +6,8 @@ Their composition is one table; a clause that holds an insult or a threat is rea
 follow), and it adds its weight to the feature of its kind and reading. A logistic function of the features is the score.
 
 Insults are learned: words, and stems that begin several words, whose documents are labelled toxic much more often than
-by chance. Counts of different words before a term keep copies of one text from counting as evidence. Weights of words
+by chance, counted over uses that are neither negated nor reported. Different surroundings of a term, four words on each
+side, are counted as evidence, so copies of one text count once and words that always follow one word count in full. Weights of words
 and features come from at most `max_rows` labelled documents (those with the least hashed ids); all documents are scored
 on their whole text.
 
@@ -19,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -211,45 +213,60 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataF
     return texts.join(F.broadcast(known), F.col("doc_id") == F.col("l")).select("text", "toxic")  # max_rows rows at most
 
 
-def learn_lexicon(sample: DataFrame, least_evidence: float = 10.0, least_docs: int = 4) -> tuple[dict, dict]:
+def plain_uses(text: str) -> tuple[list[str], dict[str, int]]:
+    """The words of a text, and each word's first place where it is neither negated nor reported nor quoted."""
+    text, words, own, last = text.lower(), [], {}, 0
+    negated, reported, quoted = 0, False, False
+    for m in _TOKEN.finditer(text):
+        if _CLAUSE_END.search(text, last, m.start()):
+            negated, reported, quoted = 0, False, False
+        token, last = m[0], m.end()
+        kind = _CLASS.get(token, OTHER if token[0].isalnum() else QUOTE)
+        if kind in (OTHER, THREAT) and not (negated or reported or quoted):
+            own.setdefault(token, len(words))
+        words.append(token)
+        negated = 3 if kind == NEGATION else max(negated - 1, 0)
+        reported, quoted = reported or kind == REPORT, quoted != (kind == QUOTE)
+    return words, own
+
+
+def learn_lexicon(sample: DataFrame, least_evidence: float = 10.0, least_docs: int = 4, least_share: float = 0.75) -> tuple[dict, dict]:
     """Words and stems with their log-odds weights, from (text, toxic)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = defaultdict(lambda: [0, 0, set()])
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before, own = "", {}
-                for m in _TOKEN.finditer(text.lower()):
-                    own.setdefault(m[0], before)
-                    before = m[0]
-                for word, left in own.items():
+                words, own = plain_uses(text)
+                for word, at in own.items():
                     entry = totals[word]
                     entry[0 if toxic else 1] += 1
                     if toxic:
-                        entry[2].add(left)
-        rows = [(w, p, n, list(c)) for w, (p, n, c) in totals.items() if len(w) >= 3]
+                        around = "\n".join([*words[max(0, at - 4) : at], "", *words[at + 1 : at + 5]])
+                        entry[2].add(int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "little", signed=True))
+        rows = [(w, p, n, list(c)) for w, (p, n, c) in totals.items()]
         for at in range(0, len(rows), 20_000):
             part = list(zip(*rows[at : at + 20_000]))
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()),
-                                              pa.array(part[3], pa.list_(pa.string()))], names=["word", "toxic", "clean", "left"])
+                                              pa.array(part[3], pa.list_(pa.int64()))], names=["word", "toxic", "clean", "around"])
 
     base = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = base.toxic or 0, base.n - (base.toxic or 0)
     if not toxic or not clean:
         return {}, {}
-    words = sample.mapInArrow(count, "word string, toxic long, clean long, left array<string>").groupBy("word").agg(
+    words = sample.mapInArrow(count, "word string, toxic long, clean long, around array<long>").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("left")))).alias("lefts"))
+        F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("places"))
     words = staged(words, "label-words")
     rate = math.log((toxic + clean) / toxic)
     # Evidence: how unlikely so many toxic documents are by chance, in natural logarithms.
-    seen = F.least("toxic", "lefts")
+    seen = F.least("toxic", "places")
     share = (F.col("toxic") + 0.0) / (F.col("toxic") + F.col("clean"))
-    evident = (seen * (F.log(share) + rate) >= least_evidence) & (seen >= least_docs) & (share >= 0.9)
+    evident = (seen * (F.log(share) + rate) >= least_evidence) & (seen >= least_docs) & (share >= least_share)
     stems = words.select("word", F.explode(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda n: F.struct(
-        n.alias("n"), F.substring("word", 1, n).alias("stem")))).alias("s"), "toxic", "clean", "lefts").where(
+        n.alias("n"), F.substring("word", 1, n).alias("stem")))).alias("s"), "toxic", "clean", "places").where(
         F.length("word") > F.col("s.n"))
     stems = stems.groupBy(F.col("s.stem").alias("stem")).agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("lefts").alias("lefts"),
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("places").alias("places"),
         F.count(F.when(F.col("toxic") > 0, 1)).alias("words")).where(evident & (F.col("words") >= 3))
     # Both lists are bounded by the sample: each entry needs documents of its own.
     weight = lambda r: min(6.0, math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.clean + 0.5) / (clean + 1)))

@@ -49,6 +49,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def learned(spark, toxic, clean):
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in clean]
+    return toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))[0]
+
+
+def test_insult_that_follows_one_word_is_learned(spark):
+    fill = [f"row{i} day{i * 7} thing{i % 13} mood{i * 3}" for i in range(400)]
+    toxic = [f"{fill[i]} you clown {fill[i + 100]}" for i in range(30)]
+    clean = fill + [f"{fill[i]} she is not a clown {fill[i + 50]}" for i in range(20)]
+    assert "clown" in learned(spark, toxic, clean)
+    assert "ox" in learned(spark, [t.replace("clown", "ox") for t in toxic], clean)
+    assert "clown" not in learned(spark, toxic[:1] * 30, clean)  # copies of one text
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
