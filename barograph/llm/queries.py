@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm import decontaminate, exact_dedup, html_text, licenses, lm, mixing, near_dedup, sanitise, sharding, toxicity
+from barograph.llm import (decontaminate, exact_dedup, hard_negatives, html_text, licenses, lm, mixing, near_dedup, sanitise, sharding,
+                           simhash, spelling, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +59,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_lm_scoring, op4_decontamination, op5_near_dedup, op6_exact_dedup, op7_sharding, op8_personal_data, op9_license_scan,
-                                   op10_mixing)}
+                                   op10_mixing, op11_hard_negatives, op12_simhash_dedup, op13_spelling_variants)}

@@ -112,4 +112,27 @@ from marked{last}
 """
 
 
-TWINS = {"op4_decontamination": OVERLAP, "op5_near_dedup": NEAR, "op6_exact_dedup": EXACT, "op9_license_scan": _licence_sql(), "op10_mixing": MIX}
+NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label,
+         list_transform(embedding, lambda x: floor(256.0::double * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id,
+       row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+TWINS = {"op4_decontamination": OVERLAP, "op5_near_dedup": NEAR, "op6_exact_dedup": EXACT, "op9_license_scan": _licence_sql(), "op10_mixing": MIX,
+         "op11_hard_negatives": NEGATIVES}
