@@ -19,12 +19,28 @@ RETURNS = (1, 3, 5, 10, 14, 20, 21)
 def price_features(bars: DataFrame, bench: DataFrame, *, drop_incomplete: bool = True, adjust: bool = True,
                    key: str = "symbol") -> DataFrame:
     """(day, symbol, close, 47 features, maxdd90). ``adjust`` picks the weighting of the trend EMAs."""
-    w = Series([key], "day")
     rows = align_benchmark(bars.select(key, "day", "high", "low", "close", F.col("volume").cast("double")
                                        .alias("volume")), bench, "bench", key)
+    out = contract_columns(indicator_rows(rows, adjust=adjust, key=key), key)
+    return complete_rows(out) if drop_incomplete else out
+
+
+def indicator_rows(rows: DataFrame, *, adjust: bool = True, key: str = "symbol", resumed: bool = False) -> DataFrame:
+    """All indicators from (symbol, day, high, low, close, volume, bench). ``resumed`` rows begin in the middle of a series.
+
+    Their first row per symbol has the running values up to it in columns ``c_…`` (see ``operators.feature_state``).
+    """
+    w = Series([key], "day")
+    count = (["row_number() over ({}) as pos".format(w.spec), f"{w.so_far('sum(coalesce(c_rn, 1))')} as rn"] if resumed else
+             [f"row_number() over ({w.spec}) as rn"])
+    pos, highest = ("pos", "greatest(close, c_peak)") if resumed else ("rn", "close")
+
+    def begun(name: str, **more: str) -> dict[str, str]:
+        return {"start": f"c_{name}", **more} if resumed else {}
+
     rows = rows.selectExpr(
-        "*", f"row_number() over ({w.spec}) as rn", f"{w.lag('close')} as pc", f"high - {w.lag('high')} as up",
-        f"{w.lag('low')} - low as down", f"{w.so_far('max(close)')} as peak", "(high + low + close) / 3 as typical",
+        "*", *count, f"{w.lag('close')} as pc", f"high - {w.lag('high')} as up",
+        f"{w.lag('low')} - low as down", f"{w.so_far(f'max({highest})')} as peak", "(high + low + close) / 3 as typical",
         "try_divide(close, bench) as rs", f"{w.change('bench', 1)} as rb", f"{w.change('bench', 20)} as SPY_20d_return",
         f"(volume - {w.lag('volume', 5)}) / 5 as volume_slope_20",
         *[f"{w.change('close', k)} as r{k}" for k in RETURNS])
@@ -38,21 +54,21 @@ def price_features(bars: DataFrame, bench: DataFrame, *, drop_incomplete: bool =
             ("r1", "r1"), ("r20", "r20"), ("rb", "rb"), ("pair", "r1 + rb"))])
     # The downward move is compared with the upward move after its own filter.
     rows = rows.selectExpr("*", "if(down > pdm and down > 0, down, 0.0d) as mdm", f"{w.so_far('count(dd)')} as n_dd",
-                           f"{w.so_far('sum(signed_volume)')} as obv",
+                           f"{w.so_far('sum(coalesce(c_obv, signed_volume))' if resumed else 'sum(signed_volume)')} as obv",
                            "if(typical > ptyp, typical * volume, 0.0d) as inflow_1",
                            "if(typical < ptyp, typical * volume, 0.0d) as outflow_1")
 
     rows = add_ewm(rows, [key], "day", [
-        Ewm.span("ema20", "close", 20, adjust), Ewm.span("ema50", "close", 50, adjust),
-        Ewm.span("ema200", "close", 200, adjust), Ewm.span("ema12", "close", 12), Ewm.span("ema26", "close", 26),
-        Ewm("avg_gain", "gain", 1 / 14, dense=False), Ewm("avg_loss", "loss", 1 / 14, dense=False),
-        Ewm("atr_w", "tr", 1 / 14), Ewm("pdm_w", "pdm", 1 / 14), Ewm("mdm_w", "mdm", 1 / 14),
-        Ewm.span("bench_ema50", "bench", 50, True, dense=False)], rn="rn")
+        *[Ewm.span(f"ema{n}", "close", n, adjust, **begun(f"ema{n}", start_seen="c_rn")) for n in (20, 50, 200)],
+        *[Ewm.span(f"ema{n}", "close", n, **begun(f"ema{n}")) for n in (12, 26)],
+        Ewm("avg_gain", "gain", 1 / 14, dense=False, **begun("avg_gain")), Ewm("avg_loss", "loss", 1 / 14, dense=False, **begun("avg_loss")),
+        *[Ewm(name, x, 1 / 14, **begun(name)) for name, x in (("atr_w", "tr"), ("pdm_w", "pdm"), ("mdm_w", "mdm"))],
+        Ewm.span("bench_ema50", "bench", 50, True, dense=False, **begun("bench_ema50", start_seen="c_seen"))], rn=pos, total="rn")
     rows = rows.selectExpr("*", "ema12 - ema26 as macd", "100 * try_divide(pdm_w, atr_w) as plus_di",
                            "100 * try_divide(mdm_w, atr_w) as minus_di")
     rows = rows.selectExpr("*", "100 * try_divide(abs(plus_di - minus_di), plus_di + minus_di) as dx")
-    rows = add_ewm(rows, [key], "day", [Ewm.span("macd_signal", "macd", 9), Ewm("ADX14", "dx", 1 / 14, dense=False)],
-                   rn="rn")
+    rows = add_ewm(rows, [key], "day", [Ewm.span("macd_signal", "macd", 9, **begun("macd_signal")),
+                                        Ewm("ADX14", "dx", 1 / 14, dense=False, **begun("ADX14", start_gap="c_dx_gap"))], rn=pos)
 
     # Long extremes are widened from short ones, so no frame is longer than 60 rows.
     rows = rows.selectExpr(
@@ -71,11 +87,14 @@ def price_features(bars: DataFrame, bench: DataFrame, *, drop_incomplete: bool =
         f"if({w.full('n_dd', 20)}, -dd20, null) as maxdd20",
         f"-{w.widened('least', 'dd20', (0, 20, 40, 60, 70), w.full('n_dd', 90))} as maxdd90",
         f"{w.so_far('count(ATR14_ratio)')} as n_atr")
-    rows = rows.selectExpr(
+    return rows.selectExpr(
         "*", f"{w.widened('greatest', 'high55', (0, 55, 110, 165, 197), 'rn >= 252')} as high252",
         f"{w.gated('avg(ATR14_ratio)', 'n_atr', 20)} as atr_mean20",
         f"{w.gated('stddev_samp(ATR14_ratio)', 'n_atr', 20)} as atr_std20")
 
+
+def contract_columns(rows: DataFrame, key: str = "symbol") -> DataFrame:
+    """The feature contract from indicator rows."""
     derived = {
         "cumret_20": "r20", "return_z_20": "try_divide(r20 - r20_mean, r20_std)", "gap_return": "r1",
         "CLV": "try_divide(close - low, high - low) - 0.5d", "EMA20_50_spread": "try_divide(ema20 - ema50, close)",
@@ -94,8 +113,7 @@ def price_features(bars: DataFrame, bench: DataFrame, *, drop_incomplete: bool =
         "OBV_slope_neg": "if(OBV_slope < 0, 1.0d, 0.0d)", "beta_60D": "try_divide(cov60, var60)",
         "SPY_above_EMA50": "if(bench > bench_ema50, 1.0d, 0.0d)", "sector_percentile_20d": "0.5d",
     }
-    out = rows.selectExpr("day", key, "close", *[f"{derived.get(n, n)} as {n}" for n in FEATURE_COLUMNS], "maxdd90")
-    return complete_rows(out) if drop_incomplete else out
+    return rows.selectExpr("day", key, "close", *[f"{derived.get(n, n)} as {n}" for n in FEATURE_COLUMNS], "maxdd90")
 
 
 def complete_rows(features: DataFrame) -> DataFrame:

@@ -57,6 +57,15 @@ FEATURES = T.StructType([T.StructField("day", T.DateType()), T.StructField("symb
                         + [T.StructField(n, _D) for n in FEATURE_COLUMNS]
                         + [T.StructField("feature_vector", T.ArrayType(_D)), T.StructField("feature_version", _S),
                            T.StructField("source_batch_id", _L), T.StructField("process_date", _TS)])
+#: Running values at a row of a symbol's daily series; what all earlier rows mean for later ones.
+CARRIED = ("rn", "peak", "obv", "seen", "ema20", "ema50", "ema200", "ema12", "ema26", "avg_gain", "avg_loss", "atr_w", "pdm_w", "mdm_w",
+           "bench_ema50", "macd_signal", "ADX14", "dx_gap")
+#: State after a day: the last bars, and the running values at the first of them (null if the series begins there).
+FEATURE_STATE = T.StructType([
+    T.StructField("day", T.DateType()), T.StructField("symbol", _S), T.StructField("rn", _L),
+    T.StructField("carry", T.StructType([T.StructField(n, _L if n in ("rn", "seen", "dx_gap") else _D) for n in CARRIED])),
+    T.StructField("halo", T.ArrayType(T.StructType([T.StructField("day", T.DateType())] + [
+        T.StructField(n, _D) for n in ("high", "low", "close", "volume", "bench")])))])
 PREDICTIONS = _fields(("day", T.DateType()), ("symbol", _S), ("model_version", _S), ("entry_price", _D),
                       ("pred_a", _D), ("risk_prob", _D), ("final_score", _D), ("feature_version", _S),
                       ("process_date", _TS))
@@ -87,6 +96,7 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "eod.prices": (EOD_PRICES, ["day"]),
     "eod.curated": (CURATED_PRICES, ["day"]),
     "ml.features": (FEATURES, ["day"]),
+    "ml.feature_state": (FEATURE_STATE, ["day"]),
     "ml.predictions": (PREDICTIONS, ["day"]),
     "ml.sentiment": (SENTIMENT, ["as_of_date"]),
     "ml.valuation": (VALUATION, ["as_of_date"]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +53,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialized(df):
-    """Rows written once to the shared checkpoint folder, for results that several jobs read (training, rounds)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Rows written once to the shared folder as Parquet and read back, for results that several jobs read.
+
+    Readers prune columns, push filters and have the files' sizes; lost executors cost a reread.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/barograph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barograph.config import AlertRules
 from barograph.operators import alerts as al, bars, daily_features as df_, intraday, quality as ql
+from barograph.operators.feature_state import kept_days, next_states, resumed_rows, thinned
 from barograph.schemas import FEATURE_COLUMNS
-from barograph.session import CONSTRAINTS
+from barograph.session import CONSTRAINTS, materialized
 from barograph.sources import decode as dc
 from barograph.sources.tables import exists, read_table, table_schema, upsert
 from barograph.streaming.lifecycle import Sink, StreamSource, append_stream, open_stream, open_table, to_sinks, without_repeats
@@ -115,38 +116,94 @@ def _current_bars(spark: SparkSession, base: str, batch: DataFrame) -> DataFrame
     return read_table(spark, base, "silver.daily_bars")
 
 
-def feature_batch(base: str, benchmark: str | None = "SPY", version: str = "v1") -> Sink:
-    """Daily features of the touched (day, symbol) pairs, upserted. All history is needed: peaks and sums have no end.
+def _resume_points(states: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The newest state of each symbol before its first day, and (symbol, since): the day from which bars are needed.
+
+    States of the last two months are looked at first; only symbols without one there look further back.
+    """
+    lowest, highest = first.agg(F.min("first"), F.max("first")).first()
+    keys = states.select("symbol", "day").where(F.col("day") < F.lit(highest)).join(first, "symbol").where("day < first")
+    newest = lambda rows: rows.groupBy("symbol").agg(F.max("day").alias("day"))
+    near = F.col("day") >= F.date_sub(F.lit(lowest), 62)
+    found = materialized(newest(keys.where(near)))
+    unknown = first.select("symbol").join(found, "symbol", "left_anti")
+    if not unknown.isEmpty():
+        found = materialized(found.unionByName(newest(keys.where(~near).join(unknown, "symbol", "left_semi"))))
+    # A symbol's first row leaves a state, so one without an earlier state has no earlier bars.
+    since = first.join(found, "symbol", "left").select("symbol", F.coalesce(F.date_add("day", 1), "first").alias("since"))
+    span = found.agg(F.min("day"), F.max("day")).first()
+    own = states.where(F.col("day").between(F.lit(span[0]), F.lit(span[1]))).join(found, ["symbol", "day"], "left_semi")
+    return own, since
+
 
-    The batch brings the table of daily bars up to date for the days it touches; features are computed from that table.
-    ``benchmark`` names the symbol that stands for the market; None takes the equal-weight mean of all daily closes. A
-    named one without any bar is an error, so the meaning of a column never depends on what has arrived.
+def feature_batch(base: str, benchmark: str | None = "SPY", version: str = "v1") -> Sink:
+    """Daily features of the touched (day, symbol) pairs, upserted; symbols go on from their stored states.
+
+    The batch brings the table of daily bars up to date for the days it touches. Each touched symbol then resumes from its
+    newest state before its first touched day: for the next day that is one state row and one bar; after a correction of
+    an old day the bars since are replayed and later states replaced. Without a table of states all symbols begin anew.
+    ``benchmark`` names the symbol that stands for the market; None takes the equal-weight mean of all daily closes. Where
+    the batch changes the market on days that symbols have states of, these symbols are replayed, too. A named benchmark
+    without any bar is an error, so the meaning of a column never depends on what has arrived.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = _batch_session(batch)
-        touched = batch.where((F.col("symbol") != (benchmark or "")) & F.col("ts").isNotNull()).select("symbol", "ts").persist()
+        rows = batch.where("ts is not null and symbol is not null").select("symbol", "ts", F.to_date("ts").alias("day")).persist()
         try:
-            if batch.isEmpty():
+            if rows.isEmpty():
                 return
             daily = _current_bars(spark, base, batch)
-            if touched.isEmpty():
+            touched = rows.where(F.col("symbol") != (benchmark or ""))
+            begun = exists(spark, _path(base, "ml.feature_state"))
+            states = read_table(spark, base, "ml.feature_state") if begun else spark.createDataFrame([], table_schema("ml.feature_state"))
+            first = touched.groupBy("symbol").agg(F.min("day").alias("first"))
+            moved = (rows if benchmark is None else rows.where(F.col("symbol") == benchmark)).agg(F.min("day")).first()[0]
+            if begun and moved is not None:
+                stale = states.where(F.col("day") >= F.lit(moved)).select("symbol", F.lit(moved).alias("first"))
+                first = first.unionByName(stale).groupBy("symbol").agg(F.min("first").alias("first"))
+            if begun:
+                first = materialized(first)
+                if first.isEmpty():
+                    return
+                own, since = _resume_points(states, first)
+                since = materialized(since)
+                daily = daily.where(F.col("day") >= F.lit(since.agg(F.min("since")).first()[0]))
+            elif touched.isEmpty():
                 return
             if benchmark is None:
                 market = daily.groupBy("day").agg(F.avg("close").alias("close"))
             else:
                 market = daily.where(F.col("symbol") == benchmark).select("day", "close")
-                if market.isEmpty():
+                if not begun and market.isEmpty():
                     raise ValueError(f"no bars of the benchmark {benchmark}")
-            wanted = daily.join(touched.select("symbol").distinct(), "symbol", "left_semi")
-            rows = df_.touched_only(df_.price_features(wanted, market), touched)
-            out = df_.with_vector(rows, version, batch_id).select("day", "symbol", *FEATURE_COLUMNS, "feature_vector",
-                                                                 "feature_version", "source_batch_id", "process_date")
+            if begun:
+                bars = daily.join(since, "symbol").where("day >= since").drop("since")
+                gone = states.join(since, "symbol").where("day >= since").select("symbol", "day")
+            else:
+                own, bars = states, daily.where(F.col("symbol") != (benchmark or ""))
+                gone = None
+            series = materialized(resumed_rows(own, bars, market))
+            fresh = df_.complete_rows(df_.contract_columns(series.where("new")))
+            out = df_.with_vector(df_.touched_only(fresh, touched), version, batch_id).select(
+                "day", "symbol", *FEATURE_COLUMNS, "feature_vector", "feature_version", "source_batch_id", "process_date")
             upsert(out, _path(base, "ml.features"), table_schema("ml.features"), ["day", "symbol", "feature_version"])
+            # States go last: until then a repeated batch finds the same states to resume from.
+            upsert(next_states(series, kept_days(series)), _path(base, "ml.feature_state"), table_schema("ml.feature_state"),
+                   ["day", "symbol"], cleared=None if gone is None else materialized(gone))
         finally:
-            touched.unpersist()
+            rows.unpersist()
     return write
 
 
+def thin_states(spark: SparkSession, base: str, before: str) -> None:
+    """Keep one state per symbol and month of the months before a day's; rewrites those days' partitions only."""
+    old = read_table(spark, base, "ml.feature_state").where(F.col("day") < F.trunc(F.to_date(F.lit(before)), "month"))
+    kept = materialized(thinned(old))
+    gone = materialized(old.select("symbol", "day").join(kept.select("symbol", "day"), ["symbol", "day"], "left_anti"))
+    if not gone.isEmpty():
+        upsert(kept.where(F.lit(False)), _path(base, "ml.feature_state"), table_schema("ml.feature_state"), ["day", "symbol"], cleared=gone)
+
+
 def build_features(spark: SparkSession, base: str, benchmark: str | None = "SPY", every: str | None = None) -> StreamingQuery:
     return to_sinks(open_table(spark, base, "silver.market"), [feature_batch(base, benchmark)],
                     f"{base}/checkpoints/features", every)
