@@ -1,8 +1,9 @@
 """Exact ranks, quantiles and rank statistics without a global sort in one task.
 
-Values are first counted, so ties collapse before any shuffle of rows. Cut points taken from the values themselves split
-each group into pieces of about equal size, also when all values lie in a narrow band; offsets come from a window over
-the pieces (at most BINS per group) and the order inside a piece from a window over (group, piece).
+Values are first counted, so ties collapse before any shuffle of rows. The distinct values are range-partitioned, which
+samples its bounds from the values themselves, so the pieces are of about equal size also when all values lie in a narrow
+band. Inside a piece a window counts the smaller values; offsets come from the pieces' sums, a few per group. The pieces
+are written before they are summed: bounds sampled a second time could differ.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Bins per group, cut at about equal numbers of distinct values, wherever these lie.
-BINS = 512
+from barograph.session import materialized
 
 
 def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), sums: Sequence[str] = (),
@@ -24,18 +24,16 @@ def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), sums: Seq
     groups = list(groups)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*groups, value)
               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(s).alias(s) for s in sums]))
-    cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, [k / BINS for k in range(1, BINS)], 4 * BINS).alias("_cuts"))
-    counts = counts.join(cuts, groups) if groups else counts.crossJoin(F.broadcast(cuts))  # one row
-    counts = counts.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cut = counts.repartitionByRange(*groups, value).withColumn("_piece", F.spark_partition_id())
+    inside = Window.partitionBy(*groups, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    cut = materialized(cut.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))))
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
-    bins = (counts.groupBy(*groups, "_bin").agg(F.sum("n").alias("_n"))
-            .select(*groups, "_bin", F.sum("_n").over(by_group).alias("total"),
-                    F.coalesce(F.sum("_n").over(by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)),
-                               F.lit(0)).alias("_off")))
-    inside = (Window.partitionBy(*groups, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return (counts.join(bins, [*groups, "_bin"])
-            .select(*groups, value, "n", (F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"),
-                    "total", *sums))
+    pieces = (cut.groupBy(*groups, "_piece").agg(F.sum("n").alias("_n"))
+              .select(*groups, "_piece", F.sum("_n").over(by_group).alias("total"),
+                      F.coalesce(F.sum("_n").over(by_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)),
+                                 F.lit(0)).alias("_off")))
+    return (cut.join(pieces, [*groups, "_piece"])
+            .select(*groups, value, "n", (F.col("_off") + F.col("_in")).alias("before"), "total", *sums))
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:
@@ -53,12 +51,16 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: Sequen
 def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of two columns over the pairs without nulls, per group or as one row."""
     groups = list(groups)
-    pairs = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, x, y)
-             .agg(F.count(F.lit(1)).alias("_w")))
+    pairs = materialized(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("_w")))
+    # Both columns are ranked in one pass, as values of two sides.
+    both = pairs.select(*groups, "_w", F.inline(F.array(*[F.struct(F.lit(k).alias("_side"), F.col(c).cast("double").alias("_value"))
+                                                        for k, c in enumerate((x, y))])))
+    ranks = value_ranks(both, "_value", [*groups, "_side"], weight="_w")
     # ranks are centred before they are multiplied, so large tables keep their precision
-    ranks = [value_ranks(pairs, name, groups, weight="_w").select(
-        *groups, name, (F.col("before") + (F.col("n") - F.col("total")) / 2).alias(f"_r_{name}")) for name in (x, y)]
-    joined = pairs.join(ranks[0], [*groups, x]).join(ranks[1], [*groups, y])
+    centred = (F.col("before") + (F.col("n") - F.col("total")) / 2)
+    side = lambda k, name: ranks.where(F.col("_side") == k).select(*groups, F.col("_value").alias(f"_v_{k}"), centred.alias(name))
+    keyed = pairs.select(*groups, "_w", F.col(x).cast("double").alias("_v_0"), F.col(y).cast("double").alias("_v_1"))
+    joined = keyed.join(side(0, f"_r_{x}"), [*groups, "_v_0"]).join(side(1, f"_r_{y}"), [*groups, "_v_1"])
     rx, ry, w = F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("_w")
     return joined.groupBy(*groups).agg(
         F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("spearman"),

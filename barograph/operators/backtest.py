@@ -11,6 +11,7 @@ from barograph.functions.ranks import spearman
 from barograph.functions.rolling import compounded
 from barograph.operators.bars import as_of, forward_close
 from barograph.operators.labels import outcomes, win
+from barograph.session import materialized
 
 
 def point_in_time(predictions: DataFrame, bars: DataFrame, dates: DataFrame, horizons: Sequence[int]) -> DataFrame:
@@ -127,27 +128,42 @@ def signals(predictions: DataFrame, rules: TradeRules = TradeRules()) -> DataFra
 def run_trades(signal_rows: DataFrame, bars: DataFrame, rules: TradeRules = TradeRules()) -> DataFrame:
     """First exit of each trade in the next ``horizon`` bars: stop before target on the same bar, else time.
 
-    Each bar carries its own short list of later bars, so signals meet it by an equi-join on (symbol, day).
+    Every bar knows the lowest low and highest high of the next 1, 2, 4, 8 … bars, each span from two of half its length.
+    A signal looks up the longest span first and steps over a span in which neither bound is met, so it stands at its
+    first hit after one look-up per span. Only signal rows are looked up, by equi-joins on (symbol, bar number).
     """
-    frame = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, rules.horizon)
-    paths = bars.select("symbol", "day", F.col("close").alias("entry_price"),
-                        F.collect_list(F.struct("day", "high", "low", "close")).over(frame).alias("_path"))
-    rows = signal_rows.select("symbol", "day", "pred_a", "risk_prob").join(paths, ["symbol", "day"]).where("size(_path) > 0")
-    stop, target = f"entry_price * (1 - {rules.stop_loss}d)", "entry_price * (1 + pred_a)"
-    rows = rows.selectExpr("*", f"get(filter(_path, b -> b.low <= {stop} or b.high >= {target}), 0) as _hit",
-                           "element_at(_path, -1) as _last")
+    spans = [1 << k for k in range(rules.horizon.bit_length())]
+    w = "partition by symbol order by day"
+    table = bars.selectExpr("symbol", "day", "high", "low", "close", f"row_number() over ({w}) as i", "low as low_1", "high as high_1",
+                            f"count(1) over ({w} rows between 1 following and {rules.horizon} following) as ahead")
+    for s in spans[1:]:
+        table = table.selectExpr("*", f"least(low_{s // 2}, lead(low_{s // 2}, {s // 2}) over ({w})) as low_{s}",
+                                 f"greatest(high_{s // 2}, lead(high_{s // 2}, {s // 2}) over ({w})) as high_{s}")
+    longest = spans[-1]
+    table = materialized(table.selectExpr("*", f"lead(low_{longest}) over ({w}) as _lo", f"lead(high_{longest}) over ({w}) as _hi"))
+    rows = (signal_rows.select("symbol", "day", "pred_a", "risk_prob").join(
+        table.selectExpr("symbol", "day", "close as entry_price", "i + 1 as p", "ahead as rest", "_lo", "_hi"), ["symbol", "day"])
+        .where("rest > 0").selectExpr("*", f"entry_price * (1 - {rules.stop_loss}d) as stop", "entry_price * (1 + pred_a) as target"))
+    for s in reversed(spans):
+        if s != longest:
+            rows = rows.join(table.selectExpr("symbol", "i as p", f"low_{s} as _lo", f"high_{s} as _hi"), ["symbol", "p"], "left")
+        step = f"if(rest >= {s} and _lo > stop and _hi < target, {s}, 0)"
+        rows = rows.selectExpr("symbol", "day", "pred_a", "risk_prob", "entry_price", "stop", "target", f"p + {step} as p", f"rest - {step} as rest")
+    # Without a hit, all bars have been stepped over, and the last of them is the exit.
+    rows = rows.selectExpr("*", "if(rest > 0, p, p - 1) as i").join(
+        table.selectExpr("symbol", "i", "day as exit_day", "low", "close"), ["symbol", "i"])
     return rows.selectExpr(
-        "day as entry_day", "symbol", "pred_a", "risk_prob", "entry_price", "coalesce(_hit.day, _last.day) as exit_day",
-        f"case when _hit is null then (_last.close - entry_price) / entry_price when _hit.low <= {stop} "
-        f"then -{rules.stop_loss}d else pred_a end as ret",
-        f"case when _hit is null then 'Time Exit ({rules.horizon}D)' when _hit.low <= {stop} then 'Risk Hit (SL)' "
+        "day as entry_day", "symbol", "pred_a", "risk_prob", "entry_price", "exit_day",
+        f"case when rest = 0 then (close - entry_price) / entry_price when low <= stop then -{rules.stop_loss}d else pred_a end as ret",
+        f"case when rest = 0 then 'Time Exit ({rules.horizon}D)' when low <= stop then 'Risk Hit (SL)' "
         f"else 'Target Hit (TP)' end as exit_reason")
 
 
 def equity_curve(trades: DataFrame, bench: DataFrame, start: str, end: str) -> DataFrame:
     """Cumulative return per benchmark day. A trade's return is spread evenly over its days after entry up to exit.
 
-    Trades are first summed per (entry, exit) pair of day numbers; only those sums are spread over days.
+    A sweep: a trade adds its daily share on its first day and takes it away after its last, and running sums over the
+    calendar give each day's open trades. Shares are decimals, so what is taken away is exactly what was added.
     """
     days = bench.where(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
     numbered = days.select("day", "close", F.row_number().over(Window.orderBy("day")).alias("i"))
@@ -158,18 +174,18 @@ def equity_curve(trades: DataFrame, bench: DataFrame, start: str, end: str) -> D
                         F.col("i").isNotNull().alias("is_day"))
     spans = (trades.join(index.select(F.col("day").alias("entry_day"), F.col("i").alias("a")), "entry_day")
              .join(index.select(F.col("day").alias("exit_day"), F.col("i").alias("b"), "is_day"), "exit_day")
-             .groupBy("a", "b", "is_day").agg(F.sum("ret").alias("r"), F.count(F.lit(1)).alias("k")))
-    spans = spans.select(
-        F.when(F.col("b") > F.col("a"), F.sequence(F.col("a") + 1, "b"))
-        .when(F.col("is_day"), F.array("b")).otherwise(F.expr("array()").cast("array<int>")).alias("on"),
-        (F.col("r") / F.greatest(F.col("b") - F.col("a"), F.lit(1))).alias("r"), "k")
-    daily = spans.select(F.explode("on").alias("i"), "r", "k").groupBy("i").agg((F.sum("r") / F.sum("k")).alias("ret"))
+             .where((F.col("b") > F.col("a")) | F.col("is_day")))
+    share = (F.col("ret") / F.greatest(F.col("b") - F.col("a"), F.lit(1))).cast("decimal(38,18)")
+    event = lambda at, sign: F.struct(at.alias("i"), (sign * F.col("share")).cast("decimal(38,18)").alias("r"), F.lit(sign).alias("k"))
+    events = spans.select(F.least(F.col("a") + 1, F.col("b")).alias("first"), (F.col("b") + 1).alias("after"), share.alias("share"))
+    events = (events.select(F.inline(F.array(event(F.col("first"), 1), event(F.col("after"), -1)))).groupBy("i")
+              .agg(F.sum("r").alias("r"), F.sum("k").alias("k")))
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    daily = numbered.join(events, "i", "left").select(
+        "day", "close", F.coalesce(F.try_divide(F.sum("r").over(run).cast("double"), F.sum("k").over(run)), F.lit(0.0)).alias("ret"))
     lost = lambda c: F.max(F.when(c <= -1, 1)).over(run).isNotNull()  # noqa: E731 - nothing is left after a total loss
     growth = lambda c: F.when(lost(c), -1.0).otherwise(F.exp(F.sum(F.when(c > -1, F.log1p(c))).over(run)) - 1)
-    rows = numbered.join(daily, "i", "left").select(
-        "day", F.coalesce("ret", F.lit(0.0)).alias("ret"),
-        F.coalesce(F.try_divide("close", F.lag("close").over(Window.orderBy("day"))) - 1, F.lit(0.0)).alias("_b"))
+    rows = daily.select("day", "ret", F.coalesce(F.try_divide("close", F.lag("close").over(Window.orderBy("day"))) - 1, F.lit(0.0)).alias("_b"))
     return rows.select("day", growth(F.col("ret")).alias("strategy"), growth(F.col("_b")).alias("benchmark"))
 
 
