@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barograph.schemas import FEATURE_COLUMNS
 
@@ -64,16 +66,23 @@ def model_version(upside: str, risk: str | None = None) -> str:
     return f"{upside}+{risk}" if risk else upside
 
 
-def output_faults(rows: DataFrame) -> DataFrame:
-    """One row with the number of scores outside the output contract."""
+def contract_faults() -> dict[str, Column]:
+    """Counts of all scores and of those outside the output contract; for ``agg`` or ``observe``."""
     bad = F.col("pred_a").isNull() | F.isnan("pred_a") | (F.abs("pred_a") == float("inf"))
     out = F.col("risk_prob").isNotNull() & (F.isnan("risk_prob") | ~F.col("risk_prob").between(0, 1))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_upside"),
-                    F.count_if(out).alias("bad_risk"))
+    return {"rows": F.count(F.lit(1)), "bad_upside": F.count_if(bad), "bad_risk": F.count_if(out)}
 
 
-def check_output(rows: DataFrame) -> DataFrame:
-    found = output_faults(rows).first()
+def output_faults(rows: DataFrame) -> DataFrame:
+    """One row with the number of scores outside the output contract."""
+    return rows.agg(*[c.alias(n) for n, c in contract_faults().items()])
+
+
+def require_contract(found: Mapping) -> None:
     if found["bad_upside"] or found["bad_risk"]:
-        raise ValueError(f"model output breaks its contract: {found.asDict()}")
+        raise ValueError(f"model output breaks its contract: {dict(found)}")
+
+
+def check_output(rows: DataFrame) -> DataFrame:
+    require_contract(output_faults(rows).first().asDict())
     return rows

@@ -79,6 +79,21 @@ def merge_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return best.select("symbol", "_b.id", *[F.col(f"_b.{c}").alias(c) for c in fields])
 
 
+def symbol_aliases(symbols: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(symbol, alias): the symbols themselves and, from (symbol, name), their names with and without "Inc."."""
+    own = symbols.select("symbol").distinct().select("symbol", F.col("symbol").alias("alias"))
+    if names is not None:
+        for name in (F.trim("name"), F.trim(F.regexp_replace("name", r"Inc\.?", ""))):
+            own = own.unionByName(names.select("symbol", name.alias("alias")))
+    return own.where(F.length("alias") > 0).distinct()
+
+
+def story_text(news: DataFrame) -> Column:
+    """Headline and, where there is one, summary."""
+    parts = [F.trim(F.coalesce(c, F.lit(""))) for c in ("headline", "summary") if c in news.columns]
+    return F.trim(F.concat_ws(" ", *parts))
+
+
 def relevant(news: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
     """Keep items whose text has an alias of the symbol as a word or as a part. Aliases are a small dimension."""
     names = aliases.groupBy("symbol").agg(F.collect_set(F.lower("alias")).alias("_names"))

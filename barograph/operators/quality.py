@@ -30,11 +30,16 @@ def _passing(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     return rows
 
 
+def rejections(rules: dict[str, str]) -> dict[str, Column]:
+    """Counts of all rows, rows failing each rule and rows failing any; for ``agg`` or ``observe``."""
+    fails = {name: f"not coalesce({c}, false)" for name, c in rules.items()}
+    return {"rows": F.count(F.lit(1)), **{f"bad_{n}": F.expr(f"count_if({c})") for n, c in fails.items()},
+            "rejected": F.expr(f"count_if({' or '.join(fails.values())})")}
+
+
 def rejected_counts(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Rows failing each rule, rows failing any, and all rows, in one pass."""
-    fails = {name: f"not coalesce({c}, false)" for name, c in rules.items()}
-    return rows.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"count_if({c})").alias(f"bad_{n}") for n, c in fails.items()],
-                    F.expr(f"count_if({' or '.join(fails.values())})").alias("rejected"))
+    return rows.agg(*[c.alias(n) for n, c in rejections(rules).items()])
 
 
 def _ranges() -> tuple[Column, Column]:
@@ -63,9 +68,16 @@ def clean_news(rows: DataFrame, now=None) -> DataFrame:
     return _passing(tidy, news_rules()).withColumn("process_date", stamp)
 
 
+def tidy_eod(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("symbol", F.upper(F.trim("symbol")))
+
+
 def clean_eod(rows: DataFrame, as_of: str, now=None) -> DataFrame:
+    return passing_eod(tidy_eod(rows), as_of, now)
+
+
+def passing_eod(tidy: DataFrame, as_of: str, now=None) -> DataFrame:
     stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    tidy = rows.withColumn("symbol", F.upper(F.trim("symbol")))
     return _passing(tidy, eod_rules(as_of)).select("*", *_ranges(), stamp.alias("process_date"))
 
 

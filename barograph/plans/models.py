@@ -90,7 +90,7 @@ def risk_classification(spark, sf):
 
 
 def prediction_summary(spark, sf):
-    return rounded(ev.prediction_summary(materialized(predictions(spark, sf))))
+    return rounded(ev.prediction_summary(materialized(predictions(spark, sf).select("pred_a", "risk_prob", "final_score"))))
 
 
 def upside_buckets(spark, sf):

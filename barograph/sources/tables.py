@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from barograph.operators.bars import latest_version
@@ -151,6 +151,30 @@ def stage_run(rows: DataFrame, base: str, run_id: str, stage: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def stage_metrics(day: str = "day") -> dict[str, Column]:
+    """What a manifest says about a stage's rows. The set of symbols, a dimension, is the only metric that is not a number."""
+    return {"rows": F.count(F.lit(1)), "first_day": F.min(day), "last_day": F.max(day), "symbols": F.size(F.collect_set("symbol"))}
+
+
+def observed(rows: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows, and metrics that are there once the rows have been written."""
+    seen = Observation(f"m{uuid.uuid4().hex}")
+    return rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]), seen
+
+
+def measured_run(rows: DataFrame, base: str, run_id: str, stage: str, metrics: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """A stage's rows read back from the run, and metrics taken while they were written: the rows are passed once."""
+    watched, seen = observed(rows, metrics)
+    return stage_run(watched, base, run_id, stage), seen.get
+
+
+def manifest_table(spark: SparkSession, run_id: str, stages: Sequence[tuple[str, Sequence[str], Mapping]]) -> DataFrame:
+    """One row per stage, with its columns, from measured metrics; as long as the job has stages."""
+    rows = [(run_id, stage, m["rows"], m["first_day"], m["last_day"], m["symbols"], list(columns), m.get("rejected")) for stage, columns, m in stages]
+    return spark.createDataFrame(rows, "run_id string, stage string, rows long, first_day date, last_day date, symbols long, "
+                                       "columns array<string>, rejected long").coalesce(1)
+
+
 def run_manifest(rows: DataFrame, run_id: str, stage: str, day: str = "day") -> DataFrame:
     """One row about a stage's output, for the table of runs."""
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
