@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import SparkSession
 
 
 CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "barograph", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,6 +54,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+@contextlib.contextmanager
+def dropped_shuffles(spark: SparkSession):
+    """Queries that end in here leave no shuffle files behind: for writes whose result is read back from its files."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialized(df):
     """Rows written once to the shared folder as Parquet and read back, for results that several jobs read.
 
@@ -59,5 +72,6 @@ def materialized(df):
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/barograph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with dropped_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
