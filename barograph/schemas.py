@@ -41,6 +41,11 @@ BRONZE_INDICATOR = _fields(("ts", _TS), ("indicator", _S), *_BRONZE_PRICE, *_LIN
 BRONZE_NEWS = _fields(("ts", _TS), ("symbol", _S), ("category", _S), ("event_timestamp", _L), ("headline", _S),
                       ("id", _L), ("image", _S), ("related", _S), ("source", _S), ("summary", _S), ("url", _S),
                       *_LINEAGE)
+DEAD_LETTERS = _fields(("topic", _S), ("partition", _I), ("offset", _L), ("payload", _S), ("fault", _S), ("field", _S),
+                       ("document", T.VariantType()), ("etl_load", _TS), ("day", T.DateType()))
+#: One row per source of a micro-batch: where it began and ended, and the newest offsets the source had by then (JSON texts).
+PROGRESS = _fields(("query", _S), ("run_id", _S), ("batch_id", _L), ("source", _S), ("start_offset", _S), ("end_offset", _S),
+                   ("latest_offset", _S), ("input_rows", _L), ("rows_per_second", _D), ("ts", _TS), ("day", T.DateType()))
 SILVER_MARKET = _fields(("ts", _TS), ("symbol", _S), *_BRONZE_PRICE, ("daily_range", _D), ("close_position", _D),
                         ("etl_load", _TS), ("process_date", _TS))
 SILVER_INDICATOR = _fields(("ts", _TS), ("indicator", _S), *_BRONZE_PRICE, ("daily_range", _D),
@@ -89,6 +94,8 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "bronze.market": (BRONZE_MARKET, ["day"]),
     "bronze.indicator": (BRONZE_INDICATOR, ["day"]),
     "bronze.news": (BRONZE_NEWS, ["day"]),
+    "bronze.dead_letters": (DEAD_LETTERS, ["day"]),
+    "ops.progress": (PROGRESS, ["day"]),
     "silver.market": (SILVER_MARKET, ["day"]),
     "silver.daily_bars": (DAILY_BARS, ["day"]),
     "silver.indicator": (SILVER_INDICATOR, ["day"]),

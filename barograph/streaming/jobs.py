@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from barograph.config import AlertRules
 from barograph.operators import alerts as al, bars, daily_features as df_, intraday, quality as ql
 from barograph.operators.feature_state import kept_days, next_states, resumed_rows, thinned
-from barograph.schemas import FEATURE_COLUMNS
+from barograph.schemas import FEATURE_COLUMNS, INDICATOR_JSON, MARKET_JSON, NEWS_JSON
 from barograph.session import CONSTRAINTS, materialized
 from barograph.sources import decode as dc
 from barograph.sources.tables import exists, read_table, table_schema, upsert
-from barograph.streaming.lifecycle import Sink, StreamSource, append_stream, open_stream, open_table, to_sinks, without_repeats
+from barograph.streaming.lifecycle import Sink, StreamSource, append_stream, lake_sink, open_stream, open_table, to_sinks, without_repeats
 
 _DECODE = {"market": dc.market_messages, "indicator": dc.indicator_messages, "news": dc.news_messages}
 
@@ -23,10 +23,22 @@ def _path(base: str, name: str) -> str:
     return f"{base}/{name.replace('.', '/')}"
 
 
-def land(spark: SparkSession, source: StreamSource, kind: str, base: str, every: str | None = None) -> StreamingQuery:
-    """Topic to bronze."""
-    rows = dc.known_time(_DECODE[kind](open_stream(spark, source)))
-    return append_stream(rows, _path(base, f"bronze.{kind}"), f"{base}/checkpoints/land_{kind}", every)
+def land(spark: SparkSession, source: StreamSource, kind: str, base: str, every: str | None = None,
+         quarantine: bool = False) -> StreamingQuery:
+    """Topic to bronze.
+
+    With ``quarantine`` every message that is no row goes to the table of dead letters instead of being lost. Both tables
+    are then written by batch (a further partition ``batch``), from rows that are parsed once, and a repeated batch replaces
+    its own files.
+    """
+    if not quarantine:
+        rows = dc.known_time(_DECODE[kind](open_stream(spark, source)))
+        return append_stream(rows, _path(base, f"bronze.{kind}"), f"{base}/checkpoints/land_{kind}", every)
+    schema, time = {"market": (MARKET_JSON, "Datetime"), "indicator": (INDICATOR_JSON, "Datetime"), "news": (NEWS_JSON, "datetime")}[kind]
+    good, bad = lake_sink(_path(base, f"bronze.{kind}")), lake_sink(_path(base, f"bronze.dead_letters/{kind}"))
+    sinks = [lambda rows, k: good(rows.where("fault is null").drop("fault", "payload"), k),
+             lambda rows, k: bad(dc.dead_letters(rows, schema, time), k)]
+    return to_sinks(_DECODE[kind](open_stream(spark, source), faults=True), sinks, f"{base}/checkpoints/land_{kind}", every)
 
 
 def clean(spark: SparkSession, kind: str, base: str, every: str | None = "2 minutes",
