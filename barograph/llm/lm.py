@@ -6,10 +6,14 @@ arc, whatever the size of the corpus. Every other word leaves h by the failure a
 probabilities after h sum to one over the known words and the unknown one; a word without arcs has the weight one. A text
 is read once from left to right: its state is carried along and the log-probabilities are added up, 10 as base.
 
+A filter of fixed size tells in the tasks which bigrams of a text can be arcs; no others leave them. It is one bit per
+place of a hash, so it errs on one side only, and the joins decide.
+
 Words and bigrams with a share of known_share or more are looked up in tasks: 1 / known_share words and as many bigrams at
 most, 16 bytes each; only these tables are broadcast. All others, as many as the corpus has, stay in distributed tables
 and meet the words and bigrams of the texts in joins: a bigram's row holds by how much its arc differs from the failure
-arc. Words are told apart by 64-bit hashes; in bigrams the broadcast words have their places instead.
+arc. Words are told apart by 64-bit hashes, and so are bigrams once they are counted; until then the broadcast words have
+their places instead.
 
 Defined results: a null text is an empty one and has only its end; rows with a null doc_id are trained on; repeated rows
 are each scored (and each counted in training); an empty table gives no rows; without training texts every word is
@@ -18,6 +22,7 @@ unknown; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.staging import staged
-from barograph.llm.words import slices, text_bytes, word_hashes
+from barograph.llm.staging import partitions, release, staged
+from barograph.llm.words import mixed, slices, text_bytes, word_hashes
 
 #: The end of a text, as a token.
 END = 0
 DISCOUNT = 0.75
 #: Occurrences that make a bigram an arc.
 LEAST = 2
+#: Texts in an Arrow batch.
+BATCH = 1000
+#: Rounds in which the texts' bigrams meet the arcs (as a power of two); each has its share of the keys, and leaves only sums.
+ROUNDS = 2
+#: Places of the filter of arcs, and of each chunk that a task fills (as powers of two): 32 MB in all.
+FILTER, CHUNK = 28, 19
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,7 +71,7 @@ def unigrams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _counted(tokens(batch.column(0))[0], ["w", "c"])
 
-    return staged(texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
+    return staged(texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams", BATCH)
 
 
 def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -86,7 +97,7 @@ def bigrams(texts: DataFrame, known: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(known)  # 1 / known_share words at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch, 0)):
+        for part in (part for batch in batches for part in slices(batch, 0, 2 << 20)):
             sequence = tokens(part.column(0))[0]
             place = _find(shared.value, sequence)
             ids = np.where(place >= 0, place, sequence)
@@ -128,12 +139,49 @@ class BackoffAutomaton:
         return base, step, ids, arc >= 0
 
 
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes that stand for bigrams."""
+    return mixed(h.astype(np.int64).view(np.uint64) ^ mixed(w.astype(np.int64).view(np.uint64))).view(np.int64)
+
+
+def _keyed(arcs: DataFrame) -> DataFrame:
+    """(pair, gain) from (h, w, gain)."""
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(pair), batch.column(2)], names=["pair", "gain"])
+
+    return arcs.select("h", "w", "gain").mapInArrow(key, "pair long, gain double")
+
+
+def arc_filter(arcs: DataFrame) -> np.ndarray:
+    """One bit for each filter place, set where an arc falls; each task fills the chunks it owns."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for k in np.unique(at >> CHUNK).tolist():
+                chunks.setdefault(k, np.zeros(1 << CHUNK, bool))[at[at >> CHUNK == k] & ((1 << CHUNK) - 1)] = True
+        for k, flags in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())],
+                                             names=["chunk", "bits"])
+
+    places = arcs.select(F.shiftrightunsigned("pair", 64 - FILTER).cast("int").alias("at"))
+    filled = places.repartition(partitions(arcs.sparkSession), F.shiftright("at", CHUNK)).mapInArrow(fill, "chunk int, bits binary").toArrow()  # 32 MB at most
+    out = np.zeros((1 << (FILTER - CHUNK), 1 << (CHUNK - 3)), np.uint8)
+    for k, bits in zip(filled["chunk"].to_pylist(), filled["bits"].to_pylist()):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """vocabulary (w, c, failure) has all words; arcs (h, w, gain) has the bigrams that the automaton lacks, None if none."""
+    """vocabulary (w, c, failure) has all words; arcs (pair, gain) has the bigrams that the automaton lacks, None if none;
+    arc_bits is their filter."""
 
     vocabulary: DataFrame
     arcs: DataFrame | None
+    arc_bits: np.ndarray | None
     n: int
     v: int
     automaton: BackoffAutomaton
@@ -176,7 +224,7 @@ def train(texts: DataFrame, state_share: float | None = None, known_share: float
     here = lambda c: F.col(c).between(0, len(words) - 1)
     rare = counted.where((F.col("c") < F.lit(frequent)) & (F.col("w") != END))
 
-    pairs = staged(bigrams(texts, words).where(F.col("n") >= F.lit(least)), "bigrams")
+    pairs = staged(bigrams(texts, words).where(F.col("n") >= F.lit(least)), "bigrams", BATCH)
     # Frequent words find their counts in arrays, so no join has them as a key.
     rooted = _looked_up(pairs.where(here("w")), "w", {"root": root}).unionByName(pairs.where(~here("w")).join(rare, "w").select(
         "h", "w", "n", F.log10((F.col("c") + 0.5) / F.lit(float(total))).alias("root")))
@@ -191,41 +239,50 @@ def train(texts: DataFrame, state_share: float | None = None, known_share: float
     weight = F.log10((1 - F.col("given") / F.col("c")) / (1 - F.col("at_root")))
     vocabulary = staged(counted.join(left.where(~here("h")).withColumnRenamed("h", "w"), "w", "left").select(
         "w", "c", F.coalesce(weight, F.lit(0.0)).alias("failure")), "vocabulary")
+    release(left, counted)
 
     top = pairs.where(F.col("n") >= F.lit(frequent)).toArrow()  # 1 / known_share rows at most
+    release(pairs)
     first, second, both = (np.array(top[c], dtype=np.int64) for c in ("h", "w", "n"))
     arcs = first * max(1, len(words)) + second
     order = np.argsort(arcs)
     p = (both[order] - DISCOUNT) / counts[first[order]]
     automaton = BackoffAutomaton(words, root, failure, arcs[order], np.log10(p))
     if frequent <= least:
-        return LanguageModel(vocabulary, None, n, v, automaton)
+        return LanguageModel(vocabulary, None, None, n, v, automaton)
     others = rooted.where(F.col("n") < F.lit(frequent))
     of_first = vocabulary.where((F.col("c") < F.lit(frequent)) & (F.col("w") != END)).withColumnRenamed("w", "h")
     others = _looked_up(others.where(here("h")), "h", {"c": counts, "failure": failure}).unionByName(
         others.where(~here("h")).join(of_first, "h").withColumn("c", F.col("c").cast("double")))
     gain = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.col("c")) - F.col("root") - F.col("failure")
-    return LanguageModel(vocabulary, staged(others.select("h", "w", gain.alias("gain")), "arcs"), n, v, automaton)
+    arcs = staged(_keyed(others.select("h", "w", gain.alias("gain"))), "arcs")
+    release(rooted)
+    return LanguageModel(vocabulary, arcs, arc_filter(arcs), n, v, automaton)
 
 
 def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, base_score, score."""
     a = model.automaton
     shared = docs.sparkSession.sparkContext.broadcast((a.known, a.root, a.failure, a.arcs, a.weights))
+    filtered = docs.sparkSession.sparkContext.broadcast(model.arc_bits)  # 32 MB
     n, total, joined = model.n, model.total, model.arcs is not None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, row = BackoffAutomaton(*shared.value), TaskContext.get().partitionId() << 40
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, 3 << 20)):
             sequence, first = tokens(batch.column(1))
             base, step, ids, by_arc = automaton.traverse(sequence)
             text = np.repeat(np.arange(len(batch)), np.diff(first))
             rare = np.isnan(base)
             # Rare words and bigrams leave as lists, to meet their counts in joins.
             (owner, word), times = _distinct(text[rare], sequence[rare])
-            other = ~by_arc if joined else np.zeros(len(text), bool)
             before = np.concatenate([_find(automaton.known, np.array([END])), ids[:-1]])
-            (owner2, h, w), times2 = _distinct(text[other], before[other], ids[other])
+            other, pair = np.zeros(len(text), bool), ids
+            if joined:
+                pair = pair_keys(before, ids)
+                at = (pair.view(np.uint64) >> np.uint64(64 - FILTER)).astype(np.int64)
+                other = ~by_arc & ((filtered.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            (owner2, pair), times2 = _distinct(text[other], pair[other])
             lists, lists2 = (pa.array(np.searchsorted(x, np.arange(len(batch) + 1)).astype(np.int32)) for x in (owner, owner2))
             columns = [
                 pa.array(row + np.arange(len(batch))), batch.column(0), pa.array(np.diff(first)),
@@ -233,27 +290,30 @@ def scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 pa.array(np.bincount(text, weights=np.nan_to_num(base), minlength=len(batch))),
                 pa.array(np.bincount(text, weights=step, minlength=len(batch))),
                 *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (word, times.astype(np.int32))),
-                *(pa.ListArray.from_arrays(lists2, pa.array(x)) for x in (h, w, times2.astype(np.int32)))]
+                *(pa.ListArray.from_arrays(lists2, pa.array(x)) for x in (pair, times2.astype(np.int32)))]
             row += len(batch)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "step", "word", "times", "h", "w", "times2"]
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "step", "word", "times", "pair", "times2"]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         read, "row long, doc_id long, n_tokens long, n_known long, base double, step double, word array<long>, "
-        "times array<int>, h array<long>, w array<long>, times2 array<int>")
-    rows = staged(rows, "read-texts")
+        "times array<int>, pair array<long>, times2 array<int>")
+    rows = staged(rows, "read-texts", BATCH)
     rare = rows.select("row", F.inline(F.arrays_zip(F.col("word").alias("w"), "times"))).join(model.vocabulary, "w", "left")
     unknown = float(np.log10(0.5 / total)) if total else 0.0
     rare = rare.groupBy("row").agg(
         F.sum(F.col("times") * F.coalesce(F.log10((F.col("c") + 0.5) / total), F.lit(unknown))).alias("rare"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.coalesce("failure", F.lit(0.0))).alias("rare_step"))
-    scored = rows.drop("word", "times", "h", "w", "times2").join(rare, "row", "left")
+    scored = rows.drop("word", "times", "pair", "times2").join(rare, "row", "left")
     step = F.col("step") + F.coalesce("rare_step", F.lit(0.0))
     if joined:
-        gains = rows.select("row", F.inline(F.arrays_zip("h", "w", "times2"))).join(model.arcs, ["h", "w"]).groupBy("row").agg(
-            F.sum(F.col("times2") * F.col("gain")).alias("gain"))
+        share = F.shiftrightunsigned("pair", 64 - ROUNDS)
+        sums = [staged(rows.select("row", F.inline(F.arrays_zip("pair", "times2"))).where(share == k).join(
+            model.arcs.where(share == k), "pair").groupBy("row").agg(F.sum(F.col("times2") * F.col("gain")).alias("gain")), "gains")
+            for k in range(1 << ROUNDS)]
+        gains = functools.reduce(DataFrame.union, sums).groupBy("row").agg(F.sum("gain").alias("gain"))
         scored, step = scored.join(gains, "row", "left"), step + F.coalesce("gain", F.lit(0.0))
     base = F.col("base") + F.coalesce("rare", F.lit(0.0))
     return scored.select(
