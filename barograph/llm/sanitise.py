@@ -170,17 +170,23 @@ def personal_data(docs: DataFrame, **thresholds: float) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """docs with `text` rebuilt: entities generalised to <KIND>, disclosing terms removed; null texts stay null."""
+    """docs with `text` rebuilt: entities generalised to <KIND>, disclosing terms removed; null texts stay null.
+
+    Of spans that overlap, the first one speaks for all: whatever any of them covers is gone.
+    """
     spans = all_spans(docs, **thresholds).groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_key", "_k")
-    rows = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
-    cut = F.transform("_spans", lambda s, i: F.struct(
-        F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["stop"]).alias("at"), s.alias("s")))
-    shown = F.transform(cut, lambda c: F.when(c["s"]["start"] < c["at"], F.lit("")).otherwise(F.concat(
-        F.substring("text", (c["at"] + 1).cast("int"), (c["s"]["start"] - c["at"]).cast("int")),
-        F.when(c["s"]["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(c["s"]["kind"]), F.lit(">"))))))
-    end = F.element_at("_spans", -1)["stop"]
-    rest = F.substring("text", (end + 1).cast("int"), F.length("text"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(shown, ""), rest))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+        F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("spans"))
+    parts = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,start:bigint,kind:string>>").alias("parts"))
+    # A span begins where the farthest span before it has ended, or shows nothing.
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["parts"]).otherwise(
+        F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))))).alias("parts"))
+    spans = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.aggregate("spans", parts, step).alias("cut"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # the caller's columns may have any names
+    rows = docs.select(own.alias("row")).join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("d"))
+                                              & (F.xxhash64("row.text") == F.col("k")), "left")
+    shown = F.transform("cut.parts", lambda c: F.concat(
+        F.substring(F.col("row.text"), (c["at"] + 1).cast("int"), (c["start"] - c["at"]).cast("int")),
+        F.when(c["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">")))))
+    rest = F.substring(F.col("row.text"), (F.col("cut.at") + 1).cast("int"), F.length("row.text"))
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(shown, ""), rest))
+    return rows.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

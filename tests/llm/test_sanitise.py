@@ -107,3 +107,15 @@ def test_whole_text_is_context_and_short_terms_count(spark):
     texts += [f"valid filler spoke {i} 12/26" for i in range(60)]
     assert {"miller", "ng", "zorro"} <= set(disclosed(spark, texts))
     assert not {"valid", "filler", "spoke"} & set(disclosed(spark, texts))
+
+
+def test_overlapping_spans_leave_nothing_of_either(spark):
+    """A short span inside a long one doesn't bring the long one's end back; the caller's columns may have any names."""
+    texts = ["tel +49 10.20.30.40 77 end", "+4111111111119.45", "no data", None, "a@b.de 10.0.0.1"]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in enumerate(texts)], "doc_id long, text string, _spans int, d int, k int, cut int")
+    got = sanitise.sanitised(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [rows[k].text for k in range(5)][0] == "tel <PHONE> end" and rows[1].text == "<PHONE>"
+    assert (rows[2].text, rows[3].text, rows[4].text) == ("no data", None, "<EMAIL> <IP>")
+    assert (rows[0]._spans, rows[0].d, rows[0].k, rows[0].cut) == (1, 2, 3, 4)
