@@ -69,6 +69,11 @@ def topn_sweep(spark, sf):
     return rounded(bt.topn_sweep(_outcomes(spark, sf), sizes=(2, 4, 6, 8, 10)), 4)
 
 
+def topn_sweep_default(spark, sf):
+    """The operator's own sizes, 10 to 100; a day with fewer names has no rows for a size."""
+    return rounded(bt.topn_sweep(_outcomes(spark, sf)), 4)
+
+
 def trade_signals(spark, sf):
     s = bt.signals(predictions(spark, sf), RULES)
     return rounded(s.select("day", "symbol", "pred_a", "risk_prob", "final_score"))
@@ -118,5 +123,5 @@ def capped_backtest_requests(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     point_in_time_scores, horizon_metrics, topk_portfolio, portfolio_summary, topn_strategy_comparison,
-    ground_truth_precision, topn_sweep, trade_signals, executed_trades, equity_curve, strategy_metrics, exit_reasons,
+    ground_truth_precision, topn_sweep, topn_sweep_default, trade_signals, executed_trades, equity_curve, strategy_metrics, exit_reasons,
     price_backtest, equal_weight_backtest, equity_samples, capped_backtest_requests)}

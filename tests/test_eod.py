@@ -61,7 +61,17 @@ def test_short_history_stops_the_run(spark, tmp_path):
     assert "ml.predictions" in TABLES and not tb.exists(spark, f"{tmp_path}/ml/predictions")
 
 
-def test_stories_that_do_not_name_their_symbol_are_left_out(spark, tmp_path):
+@pytest.fixture
+def plain_features(monkeypatch):
+    """Constant features: what is tested here doesn't depend on them."""
+    from barograph import eod
+    from barograph.schemas import FEATURE_COLUMNS
+
+    monkeypatch.setattr(eod.df_, "price_features", lambda bars, market: bars.select(
+        "day", "symbol", "close", *[F.lit(0.5).alias(c) for c in FEATURE_COLUMNS], F.lit(0.1).alias("maxdd90")))
+
+
+def test_stories_that_do_not_name_their_symbol_are_left_out(spark, tmp_path, plain_features):
     """Also before the fallback of a symbol without fresh stories."""
     as_of = "2023-09-18"
     rows = [("AAA", 1, "Alpha Works Inc. opens a plant", None, 1.0, "2023-09-17"), ("AAA", 2, "Shares of aaa, at last", None, 0.5, "2023-09-16"),
@@ -77,7 +87,7 @@ def test_stories_that_do_not_name_their_symbol_are_left_out(spark, tmp_path):
     assert got == {"AAA": (3, 0.5), "OLD": (1, 0.25)}
 
 
-def test_scores_outside_the_contract_reach_no_table(spark, tmp_path):
+def test_scores_outside_the_contract_reach_no_table(spark, tmp_path, plain_features):
     job = EndOfDay(str(tmp_path), "run", "2023-09-19", "2024-03-01 00:00:00", min_days=100)
     with pytest.raises(ValueError, match="contract"):
         run_end_of_day(spark, job, _landed(spark, 262), lambda rows: st.scored(rows).withColumn("risk_prob", F.lit(1.5)))

@@ -79,11 +79,12 @@ def _topn(score: str) -> str:
         where k <= 3 and ahead > 0 group by day)"""
 
 
-_SWEEP = " union all ".join(f"""select {n} as top_n, {n * 21} as trades_per_month, {r('sum(w) / sum(c) * 100', 4)} as win_rate_pct,
+def _sweep(sizes) -> str:
+    return " union all ".join(f"""select {n} as top_n, {n * 21} as trades_per_month, {r('sum(w) / sum(c) * 100', 4)} as win_rate_pct,
   {r('avg(m) * 100', 4)} as avg_return_pct, {r('sum(d) / sum(c) * 100', 4)} as avg_drawdown_pct from (
     select day, avg(max_return) as m, sum(drawdown) as d, count(*) as c,
       sum((max_return > 0 and drawdown > -0.05)::int) as w
-    from rk where ahead = 14 and model <= {n} and names >= {n} group by day) having count(*) > 0""" for n in (2, 4, 6, 8, 10))
+    from rk where ahead = 14 and model <= {n} and names >= {n} group by day) having count(*) > 0""" for n in sizes)
 
 TWINS = {
     "point_in_time_scores": f"""{with_(PIT)} select rebalance_day, symbol, entry_price, {', '.join(
@@ -106,7 +107,8 @@ TWINS = {
         {r('avg(max_return) filter (where model <= 5 and ahead = 14)')} as mean_max_return,
         {r('count(*) filter (where model <= 5 and truth <= 5) / 5')} as precision
         from rk where names >= 5 and known group by day""",
-    "topn_sweep": f"{with_(RANKED)} {_SWEEP}",
+    "topn_sweep": f"{with_(RANKED)} {_sweep((2, 4, 6, 8, 10))}",
+    "topn_sweep_default": f"{with_(RANKED)} {_sweep(range(10, 101, 10))}",
     "trade_signals": f"""{with_(PRED)} select day, symbol, {r('pred_a')} as pred_a, {r('risk_prob')} as risk_prob,
         {r('final_score')} as final_score from scored where pred_a >= 0.06 and risk_prob <= 0.3""",
     "executed_trades": f"""{with_(TRADES)} select entry_day, symbol, {r('pred_a')} as pred_a, {r('risk_prob')} as risk_prob,
