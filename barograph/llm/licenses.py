@@ -205,6 +205,17 @@ HINT = r"(?i)licen[sc]e|rights|redistribut|warrant|permission|in no event|public
 KNOWN = r"(?<=\| )(?:" + "|".join(x.replace(" ", r" (?:\| )?") for x in sorted(SENTENCES, key=len, reverse=True)) + r")(?= \|)"
 
 
+#: The clause of BSD that names somebody, however many words the name has; it then reads like that of a copyright holder.
+NAMED = "neither the name of {}nor the names of its contributors"
+
+
+def unnamed(text: Column) -> Column:
+    """A marked text with the holder's name out of the BSD clause; "Inc." in a name ends no sentence there."""
+    broken = lambda x: x.replace(" ", r" (?:\| )?")
+    return F.regexp_replace(text, broken("neither the name of ") + r"(?:[^ |]+ (?:\|\|? )?){1,20}?" + broken("nor the names of its contributors"),
+                            NAMED.format("the copyright holder "))
+
+
 def marked(text: Column) -> Column:
     """The normalised text with | at a line break inside a paragraph and || where a sentence or a paragraph ends."""
     ends = F.split(text, r"(?<=[.!?;])[\x20\x09]*[\n\r]+|(?<=[.!?;])[\x20\x09]+|(?:\r?\n|\r)[\x20\x09]*(?:\r?\n|\r)[\x20\x09\n\r]*")
@@ -217,7 +228,7 @@ def licences(docs: DataFrame) -> DataFrame:
     pieces = F.filter(sentences(F.coalesce("text", F.lit(""))), lambda s: F.length(F.trim(s)) > 0)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     found = F.when(F.coalesce("text", F.lit("")).rlike(HINT), F.transform(
-        F.regexp_extract_all(marked(F.col("text")), F.lit(KNOWN), F.lit(0)), lambda m: known[F.replace(m, F.lit(" | "), F.lit(" "))]))
+        F.regexp_extract_all(unnamed(marked(F.col("text"))), F.lit(KNOWN), F.lit(0)), lambda m: known[F.replace(m, F.lit(" | "), F.lit(" "))]))
     found = F.coalesce(found, F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces.alias("pieces"), found.alias("found"))
     rows = rows.select("doc_id", F.size("pieces").cast("long").alias("n_sentences"),

@@ -104,7 +104,9 @@ numbered as (select doc_id, row, len(pieces) as n_all, unnest(case when len(piec
 clean as (select doc_id, row, n_all, n, trim(regexp_replace(
             translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) as sentence from numbered),
-hits as (select doc_id, row, n_all, n, id from clean left join known using (sentence)),
+named as (select * replace (regexp_replace(sentence, 'neither the name of (?:[^ ]+ ){{1,20}}?nor the names of its contributors',
+            'neither the name of the copyright holder nor the names of its contributors') as sentence) from clean),
+hits as (select doc_id, row, n_all, n, id from named left join known using (sentence)),
 {", ".join(stages)}
 select doc_id, n_sentences::bigint as n_sentences, sentence_ids,
        array_to_string(list_sort(list_distinct(list_filter([{listed}], lambda x: x is not null))), ',') as licences

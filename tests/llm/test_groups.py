@@ -239,6 +239,18 @@ def test_licences_of_real_texts(spark):
     assert [rows[k] for k in range(len(want))] == list(want.values())
 
 
+def test_bsd_clauses_name_their_holder(spark):
+    """A name of any length, also over lines; without the clause it is the shorter licence."""
+    start = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+             "conditions are met:\n" + licenses.TEXTS["bsd-source"] + "\n" + licenses.TEXTS["bsd-binary"] + "\n")
+    clause = ("Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software "
+              "without specific prior written permission.")
+    texts = [start, start + clause.format("Google Inc."), start + clause.format("the University of California,\nBerkeley and others"),
+             start + clause.format("the copyright holder")]
+    rows = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licences for r in sorted(rows, key=lambda r: r.doc_id)] == ["BSD-2-Clause"] + ["BSD-3-Clause"] * 3
+
+
 def test_hint_covers_every_licence_sentence():
     assert [x for x in licenses.SENTENCES if not re.search(licenses.HINT, x)] == []
     assert {i for i in licenses.SENTENCES.values() if i.endswith("-ref")} <= {r[0] for r, _ in licenses.RULES if len(r) == 1}
