@@ -74,14 +74,20 @@ def machines(strings: list[tuple[str, str]]) -> list[WuManber]:
     return list(by_length.values())
 
 
+def occurrences(search: list[WuManber], listed: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
+    """(start, stop, items) of every place where a test string occurs."""
+    for machine in search:
+        for start, owners in machine.search(listed):
+            yield start, start + machine.length, owners
+
+
 def found(search: list[WuManber], text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit stretches in order without overlap, items."""
     listed = words(text)
     hits, items = [], set()
-    for machine in search:
-        for start, owners in machine.search(listed):
-            hits.append((start, start + machine.length))
-            items |= owners
+    for start, stop, owners in occurrences(search, listed):
+        hits.append((start, stop))
+        items |= owners
     merged: list[tuple[int, int]] = []
     for start, end in sorted(hits):
         if merged and start <= merged[-1][1]:
@@ -91,6 +97,12 @@ def found(search: list[WuManber], text: bytes) -> tuple[int, list[tuple[int, int
     return len(listed), merged, items
 
 
+def telling(search: list[WuManber], text: bytes, window: int, least_share: float) -> bool:
+    """Whether a whole window occurs, or a shorter item that is at least this share of the text's words."""
+    listed = words(text)
+    return any(stop - start >= window or stop - start >= least_share * len(listed) for start, stop, _ in occurrences(search, listed))
+
+
 def test_strings(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, string): the distinct word windows of each item."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +169,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_
                          (F.size("hits") > 0).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs in which no test string occurs; nothing is moved between tasks."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_bytes: int = 32 << 20,
+                   least_share: float = 0.0) -> DataFrame:
+    """The rows of docs in which no test string occurs; nothing is moved between tasks.
+
+    An item of fewer words than a window speaks only against texts of which it is at least `least_share`, in words: "yes" may
+    be a benchmark's answer and stands in many clean texts.
+    """
     kept, at = docs, docs.columns.index("text")
 
     def clean(share: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -166,7 +183,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             search = machines(share.value)
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not found(search, text or b"")[1] for text in texts], pa.bool_()))
+                yield batch.filter(pa.array([not telling(search, text or b"", window, least_share) for text in texts], pa.bool_()))
 
         return scan
 

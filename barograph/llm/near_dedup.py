@@ -12,8 +12,8 @@ may be similar to by an exact prefix filter on the full sets, so the result is t
 With 30 bands of 5 values, a pair at similarity 0.8 shares a band with probability 1 - 7e-6, at 0.9 with 1 - 2e-12.
 
 Defined results: null or empty texts have empty sets and are linked with nothing; texts with fewer words than a shingle
-have one; rows with a null doc_id are linked with nothing and kept; repeated rows are classes like other copies; an
-empty table gives no rows; extra columns are ignored.
+have one; repeated rows are classes like other copies; near_duplicates() links rows with a null doc_id with nothing, while
+deduplicated() treats them like all others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barograph.llm.graph import components
 from barograph.llm.staging import sized, staged
@@ -214,7 +215,37 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of docs that stay: one document of each component, all without a set."""
-    dropped = near_duplicates(docs, size).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = sized(staged(dropped, "near-duplicates"), F.lit(0))
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of docs that stay: one row of each component, and all rows without a set.
+
+    The row with the least doc_id stays; a null doc_id comes after all others. Rows are told apart by doc_id and set, and of
+    rows that have both in common one stays, so null and repeated ids neither keep copies nor take other texts away. Columns
+    may have any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # Where the doc_id is null, the text's hash stands for it; equal sets are compared, too, so it need not be unique.
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc_id"), F.col("text"))
+    sketched, roots = classes_and_roots(rows, size)
+    copies = sketched.where(F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.lit(1).alias("one")).drop("one")
+    least = copies.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
+    stays = least.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("best")).select("best.doc_id", "best.node")
+    stays = staged(stays, "stays")
+    dropped = sized(staged(copies.join(stays, ["doc_id", "node"], "left_anti").select("doc_id").distinct(), "near-duplicates"), F.lit(0))
+    several = staged(sketched.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if several.isEmpty():
+        return rows.join(dropped, "doc_id", "left_anti").select("row.*")
+    several = sized(several, F.lit(0))
+    own = rows.join(several, "doc_id", "left_anti").join(dropped, "doc_id", "left_anti").select("row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [set_key(s) if len(s) else None for s in shingle_sets(*text_bytes(batch.column(2)), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary())], names=["row", "doc_id", "node"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType())])
+    again = rows.join(several, "doc_id", "left_semi").select("row", "doc_id", "text").mapInArrow(cut, schema)
+    bare = again.where(F.col("node").isNull()).select("row")
+    # Copies of one row combine before the shuffle, however many there are.
+    again = again.where(F.col("node").isNotNull()).join(stays, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(
+        F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    return own.unionAll(bare).unionAll(again).select("row.*")

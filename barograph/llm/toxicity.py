@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, report, quote or other. Five transducers read the symbols of a
-clause: insults and threats emit their kind, the others say of each whether it is aimed at someone, negated or reported.
-Their composition is one table; a clause that holds an insult or a threat is read once in each direction (a target may
-follow), and it adds its weight to the feature of its kind and reading. A logistic function of the features is the score.
+Words become symbols: insult, threat, target, negation, report, opening and closing quote, comma, border or other. Five
+transducers read the symbols of a sentence: insults and threats emit their kind, the others say of each whether it is aimed
+at someone, negated or reported. Their composition is one table; a sentence that holds an insult or a threat is read once in
+each direction (a target may follow). Targets reach to the end of their clause; a negation reaches over words set off by
+commas right behind it ("not, in my view, an idiot"); a verb of reporting reaches over commas, colons and semicolons to the end of the
+sentence, a quote to its closing mark, over sentences, if that stands in the same paragraph. Each clause adds its weight to
+the feature of its kind and reading. A logistic function of the features is the score.
 
 Insults are learned: words, and stems that begin several words, whose documents are labelled toxic much more often than
 by chance, counted over uses that are neither negated nor reported. Different surroundings of a term, four words on each
@@ -14,7 +17,8 @@ on their whole text.
 Defined results: null and empty texts have no clause and get the score of a text without matches; labels without a value
 or without a document are left out, of several labels of a document the largest counts; without labels the words given
 below and fixed weights are used; repeated rows are scored each for itself; an empty table gives no rows; extra columns
-are ignored.
+are ignored; texts of any length are read whole, in time in proportion to it; of terms that begin at one place the weightier one
+counts, the one found first at equal weight.
 """
 
 from __future__ import annotations
@@ -43,11 +47,14 @@ NEGATIONS = "not never no neither nor without isn't aren't nicht kein keine nie
 REPORTS = ("said says say wrote writes called calls claimed reported quoted told sagte schrieb nannte dit écrit appelé "
            "dijo escribió llamó").split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "ITYNRQO"
-ALPHABET = INSULT + THREAT + TARGET + NEGATION + REPORT + QUOTE + OTHER
+INSULT, THREAT, TARGET, NEGATION, REPORT, OPEN, CLOSE, COMMA, BORDER, OTHER = "ITYNR(),;O"
+ALPHABET = INSULT + THREAT + TARGET + NEGATION + REPORT + OPEN + CLOSE + COMMA + BORDER + OTHER
 _CLASS = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”„«»]")
+_MARKS = {",": COMMA, ":": BORDER, ";": BORDER}
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”„«»‘’',:;]")
+_SENTENCE_END = re.compile(r"[.!?\n\r]+")
 _CLAUSE_END = re.compile(r"[.!?;:,\n\r]+")
+_QUOTE = re.compile(r"[\"“”„«»‘’']|\n[^\S\n]*\n")
 READINGS = ("plain", "aimed", "reported", "negated")
 FEATURES = tuple((kind, reading) for kind in (INSULT, THREAT) for reading in READINGS)
 
@@ -84,12 +91,19 @@ def _emitting(symbol: str) -> Transducer:
 
 
 def _reaching(opener: str, reach: int, says: str) -> Transducer:
-    """After its opener, insults and threats within `reach` words are marked."""
-    arcs = {}
+    """After its opener, insults and threats within `reach` words of the clause are marked.
+
+    A comma right behind a negation sets words off: they neither count nor are marked, and after the next comma the
+    negation goes on.
+    """
+    arcs, aside = {}, reach + 1
     for state in range(reach + 1):
         for s in ALPHABET:
             mark = frozenset([says]) if state and s in (INSULT, THREAT) else frozenset()
-            arcs[state, s] = (reach if s == opener else max(state - 1, 0), mark)
+            after = reach if s == opener else 0 if s in (COMMA, BORDER) else max(state - 1, 0)
+            arcs[state, s] = (aside if (s, state, opener) == (COMMA, reach, NEGATION) else after, mark)
+    for s in ALPHABET:
+        arcs[aside, s] = (reach if s == COMMA else 0 if s == BORDER else aside, frozenset())
     return Transducer(arcs)
 
 
@@ -99,15 +113,80 @@ def _quoting() -> Transducer:
     for state in range(4):  # bit 0: reported, bit 1: quoted
         for s in ALPHABET:
             mark = frozenset(["reported"]) if state and s in (INSULT, THREAT) else frozenset()
-            arcs[state, s] = (state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state, mark)
+            arcs[state, s] = (state | 1 if s == REPORT else state | 2 if s == OPEN else state & 1 if s == CLOSE else state, mark)
     return Transducer(arcs)
 
 
 _TRIGGERS = _emitting(INSULT).compose(_emitting(THREAT))
-FORWARD = _TRIGGERS.compose(_reaching(NEGATION, 3, "negated")).compose(_quoting()).compose(_reaching(TARGET, 4, "aimed"))
+_SPEECH = _reaching(NEGATION, 3, "negated").compose(_quoting())
+FORWARD = _TRIGGERS.compose(_SPEECH).compose(_reaching(TARGET, 4, "aimed"))
 BACKWARD = _reaching(TARGET, 3, "aimed")
 
 
+def quoted(text: str) -> list[tuple[int, int]]:
+    """Places of opening and closing marks, outermost pairs in order; a mark without its other in the paragraph is none."""
+    pairs: list[tuple[int, int]] = []
+    begun: dict[str, tuple[int, str]] = {}
+    for m in _QUOTE.finditer(text):
+        mark, at = m[0], m.start()
+        if len(mark) > 1:
+            begun.clear()
+            continue
+        kind = '"' if mark == '"' else "'" if mark == "'" else "“" if mark in "“”„" else "«" if mark in "«»" else "‘"
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        was = begun.get(kind)
+        apart = not before.isalnum()  # as an opening mark stands; apostrophes and marks of inches don't
+        if kind == '"':
+            closes, opens = was is not None, apart
+        elif kind == "'":
+            closes, opens = was is not None and not after.isalnum() and not before.isspace(), apart and after.isalnum()
+        elif kind == "“":
+            closes = was is not None and (mark == "”" or (mark, was[1]) == ("“", "„"))
+            opens = mark != "”"
+        elif kind == "«":
+            closes, opens = was is not None and was[1] != mark, True
+        else:
+            closes, opens = was is not None and mark == "’" and not after.isalnum(), mark == "‘"
+        if closes:
+            pairs.append((begun.pop(kind)[0], at))
+        elif opens:
+            begun[kind] = (at, mark)
+    outer: list[tuple[int, int]] = []
+    for pair in sorted(pairs):
+        if not outer or pair[0] > outer[-1][1]:
+            outer.append(pair)
+    return outer
+
+
+class Sentences:
+    """The sentences of a lower-case text as symbols."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.pairs = text, quoted(text)
+        self.opened = [a for a, _ in self.pairs]
+        self.quotes = {a: OPEN for a in self.opened} | {b: CLOSE for _, b in self.pairs}
+        ends = [(m.start(), m.end()) for m in _SENTENCE_END.finditer(text)]
+        self.starts, self.stops = [0] + [b for _, b in ends], [a for a, _ in ends] + [len(text)]
+
+    def at(self, place: int) -> int:
+        return bisect.bisect_right(self.starts, place) - 1
+
+    def symbols(self, k: int) -> Iterator[tuple[int, str, str]]:
+        """(place, token, symbol); the first one says whether the sentence begins inside a quote."""
+        start = self.starts[k]
+        pair = bisect.bisect_left(self.opened, start) - 1
+        yield -1, "", OPEN if pair >= 0 and start <= self.pairs[pair][1] else BORDER
+        for m in _TOKEN.finditer(self.text, start, self.stops[k]):
+            place, token = m.start(), m[0]
+            if token[0].isalnum():
+                token = token.replace("’", "'")
+                yield place, token, _CLASS.get(token, OTHER)
+            elif token in _MARKS:
+                yield place, token, _MARKS[token]
+            elif place in self.quotes:
+                yield place, token, self.quotes[place]
+
+
 class Grammar:
     """The lexicon as an automaton over characters, and the clause machines."""
 
@@ -139,27 +218,23 @@ class Grammar:
         if not hits:
             return []
         ends = [(m.start(), m.end()) for m in _CLAUSE_END.finditer(text)]
-        starts, by_clause = [0] + [b for _, b in ends], defaultdict(list)
-        stops = [a for a, _ in ends] + [len(text)]
-        for place in hits:
-            by_clause[bisect.bisect_right(starts, place) - 1].append(place)
-        out = []
-        for k in sorted(by_clause):
-            tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(text, starts[k], stops[k])]
-            symbols = "".join(
-                (THREAT if token in THREATS else INSULT) if place in hits
-                else _CLASS.get(token, QUOTE if not token[0].isalnum() else OTHER) for place, token in tokens)
+        starts, stops = [0] + [b for _, b in ends], [a for a, _ in ends] + [len(text)]
+        sentences, by_clause = Sentences(text), defaultdict(lambda: (set(), set(), []))
+        for k in sorted({sentences.at(place) for place in hits}):
+            tokens = list(sentences.symbols(k))
+            symbols = "".join((THREAT if token in THREATS else INSULT) if place in hits else s for place, token, s in tokens)
             after = BACKWARD.outputs(symbols[::-1])[::-1]
-            kinds, readings, weight = set(), set(), 0.0
-            for (place, _), emitted, behind in zip(tokens, FORWARD.outputs(symbols), after):
+            for (place, *_), emitted, behind in zip(tokens, FORWARD.outputs(symbols), after):
                 if emitted & {INSULT, THREAT}:
                     marks = emitted | behind
+                    kinds, readings, weights = by_clause[bisect.bisect_right(starts, place) - 1]
                     kinds |= marks & {INSULT, THREAT}
                     readings.add(next((r for r in ("negated", "reported", "aimed") if r in marks), "plain"))
-                    weight += hits[place][1]
-            if kinds:
-                reading = next(r for r in ("aimed", "plain", "reported", "negated") if r in readings)
-                out.append((starts[k], stops[k], THREAT if THREAT in kinds else INSULT, reading, weight))
+                    weights.append(hits[place][1])
+        out = []
+        for k, (kinds, readings, weights) in sorted(by_clause.items()):
+            reading = next(r for r in ("aimed", "plain", "reported", "negated") if r in readings)
+            out.append((starts[k], stops[k], THREAT if THREAT in kinds else INSULT, reading, sum(weights)))
         return out
 
     def features(self, text: str) -> list[float]:
@@ -214,19 +289,16 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataF
 
 
 def plain_uses(text: str) -> tuple[list[str], dict[str, int]]:
-    """The words of a text, and each word's first place where it is neither negated nor reported nor quoted."""
-    text, words, own, last = text.lower(), [], {}, 0
-    negated, reported, quoted = 0, False, False
-    for m in _TOKEN.finditer(text):
-        if _CLAUSE_END.search(text, last, m.start()):
-            negated, reported, quoted = 0, False, False
-        token, last = m[0], m.end()
-        kind = _CLASS.get(token, OTHER if token[0].isalnum() else QUOTE)
-        if kind in (OTHER, THREAT) and not (negated or reported or quoted):
-            own.setdefault(token, len(words))
-        words.append(token)
-        negated = 3 if kind == NEGATION else max(negated - 1, 0)
-        reported, quoted = reported or kind == REPORT, quoted != (kind == QUOTE)
+    """The words of a text, and each word's first place where an insult would be neither negated nor reported nor quoted."""
+    sentences, words, own = Sentences(text.lower()), [], {}
+    for k in range(len(sentences.starts)):
+        state = 0
+        for _, token, symbol in sentences.symbols(k):
+            if symbol in (OTHER, THREAT) and not _SPEECH.arcs[state, INSULT][1]:
+                own.setdefault(token, len(words))
+            if token and token[0].isalnum():
+                words.append(token)
+            state = _SPEECH.arcs[state, symbol][0]
     return words, own
 
 

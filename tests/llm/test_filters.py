@@ -37,6 +37,16 @@ def test_readings():
     assert read('Ann said that idiot came. "Stupidity" rules') == [("I", "reported"), ("I", "reported")]
     assert read("I will kill you") == [("T", "aimed")]
     assert read("idiotic unstupid skill killer") == []
+    assert read("He said, you are an idiot.") == read("He said: you are an idiot.") == [("I", "reported")]
+    assert read('She wrote: "Well, you are stupid, an idiot, he thinks".') == [("I", "reported")] * 2
+    assert read("You are not, in my view, an idiot.") == [("I", "negated")]
+    assert read("No, you idiot!") == [("I", "aimed")]
+    assert read("She said so. You idiot") == [("I", "aimed")]
+    assert read("‘You idiot. You idiot,’ she cried. You idiot") == [("I", "reported"), ("I", "reported"), ("I", "aimed")]
+    assert read("'You idiot.' It's the dogs' way, you idiot") == [("I", "reported"), ("I", "aimed")]
+    assert read("„Du idiot“ sagte er. Du idiot") == [("I", "reported"), ("I", "aimed")]
+    assert read('A 5" screen, you idiot') == read('"An open mark\n\nYou idiot') == [("I", "aimed")]
+    assert read("She isn’t an idiot") == [("I", "negated")]
     assert read("") == []
 
 
@@ -63,6 +73,19 @@ def test_insult_that_follows_one_word_is_learned(spark):
     assert "clown" not in learned(spark, toxic[:1] * 30, clean)  # copies of one text
 
 
+def test_plain_uses_leave_out_reported_words():
+    uses = lambda text: set(toxicity.plain_uses(text)[1])
+    assert uses("He said, you clown. Red fox") == {"red", "fox"}
+    assert uses('He: "Ah, a clown. A clown!" Blue') == {"blue"}
+    assert uses("A fool is not, by far, a clown, old man") == {"a", "fool", "is", "by", "far", "old", "man"}
+
+
+def test_long_texts_take_time_in_proportion():
+    grammar = toxicity.Grammar({"idiot": 1.0}, {})
+    assert len(grammar.clauses('"' * 100_001 + " idiot « " + "« ' „ ‘" * 20_000)) == 1
+    assert len(grammar.clauses("you idiot, " * 20_000)) == 20_000
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
@@ -163,6 +186,16 @@ def test_decontamination_equals_brute_force(spark, share_bytes):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in got if not r.contaminated)
 
 
+def test_short_items_reject_only_what_they_make_up(spark):
+    long = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "Yes, we can go on"), (2, "yes"), (3, "so: yes"), (4, "a " + long[:-7]), (5, long[:40]), (6, None), (7, "")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, long)], "item_id long, text string")
+    kept = lambda **more: sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench, **more).collect())
+    assert kept(least_share=0.5) == [1, 5, 6, 7]
+    assert kept() == [5, 6, 7]
+
+
 def test_decontamination_edges(spark):
     docs, none = odd(spark), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digest(decontaminate.overlaps(docs, none)).where("contaminated").count() == 0

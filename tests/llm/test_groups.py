@@ -93,6 +93,21 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, a, 1), (None, a, 2), (7, a + " end", 3), (7, b, 4), (7, b, 5), (8, b.upper(), 6), (None, None, 7), (7, "", 8), (None, "alone", 9),
+            (None, "alone", 10), (9, "single", 11), (10, "Single", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _dropped int")
+    docs = docs.selectExpr("*", "1 as node", "2 as row", "3 as `a.b`", "4 as best")
+    got = near_dedup.deduplicated(docs, 5)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, (r.text or "").lower()) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(7, a + " end"), (7, b), (None, ""), (7, ""), (None, "alone"), (9, "single")], key=str)
+    same = spark.createDataFrame([(1, a)] * 4, "doc_id long, text string")
+    assert near_dedup.deduplicated(same).count() == 1
+    assert near_dedup.deduplicated(same.limit(0)).count() == 0
+
+
 def test_near_edges(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(odd(spark), 2).collect())
     assert got == [("1", 0, "1", True), ("2", 0, "2", True), ("3", 2, "3", True), ("3", 2, "3", True), ("4", 1, "4", True),
