@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barograph.config import SYMBOL_ALIASES
 from barograph.operators import quality as ql
 from barograph.plans.common import predictions, rounded
-from barograph.sources import decode as dc, standins as st, tables as tb
+from barograph.session import checkpoint_dir
+from barograph.sources import decode as dc, standins as st, summaries as sm, tables as tb
 
 NOW = "2024-02-01 00:00:00"
 
@@ -164,7 +167,36 @@ def prediction_preview(spark, sf):
     return rounded(tb.preview(predictions(spark, sf).withColumn("entry_price", F.col("close"))), entry_price=None)
 
 
+def _price_summary(spark, sf):
+    """Bars as a table by year: those before 2000 appended, later ones appended in part and then upserted; the summary follows."""
+    path = f"{checkpoint_dir(spark)}/prices-{uuid.uuid4().hex}"
+    bars = st.eod(spark, sf).select("day", "symbol", "close", F.trunc("day", "year").alias("year"))
+    for rows in (bars.where("day < date'2000-01-01'"), bars.where("day between date'2000-01-01' and date'2000-03-31'")):
+        tb.append(rows, path, ("year",))
+        sm.refresh(spark, path, bars.schema, "year")
+    tb.upsert(bars.where("day >= date'2000-03-01'"), path, bars.schema, ["day", "symbol"], part="year")
+    sm.refresh(spark, path, bars.schema, "year")
+    return sm.read_summary(spark, path, bars.schema["year"])
+
+
+def _now(spark):
+    return spark.range(1).select(F.lit(NOW).cast("timestamp_ntz").alias("now"))
+
+
+def summarised_state(spark, sf):
+    part = st.table(spark, sf, "part")
+    return sm.state_from_summary(_price_summary(spark, sf), part.select(F.col("p_brand").alias("symbol")).union(part.select("p_type")))
+
+
+def summarised_health(spark, sf):
+    return sm.health_from_summary({"prices": _price_summary(spark, sf)}, _now(spark))
+
+
+def summarised_freshness(spark, sf):
+    return sm.freshness_from_summary({"prices": _price_summary(spark, sf)}, _now(spark))
+
+
 QUERIES = {f.__name__: f for f in (
     decoded_market, decoded_indicators, decoded_news, silver_market, silver_indicators, silver_news, rejected_market_rows,
     raw_prices, clean_prices, price_history_gate, current_tickers, canonical_bars, typed_context, merged_prices, load_windows,
-    table_state, run_manifest, prediction_preview)}
+    table_state, run_manifest, prediction_preview, summarised_state, summarised_health, summarised_freshness)}

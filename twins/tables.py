@@ -66,6 +66,12 @@ TWINS = {
         union all select symbol, max_day, date '2001-01-21', date '2001-02-01', 'rolling_overwrite', 'rolling' from m""",
     "table_state": f"""{with_(EOD)} select symbol, coalesce(n, 0) as days, last_day from {_WANT} left join (
         select symbol, count(distinct day) as n, max(day) as last_day from eod group by 1) using (symbol)""",
+    "summarised_state": f"""{with_(EOD)} select symbol, coalesce(n, 0) as days, last_day from {_WANT} left join (
+        select symbol, count(distinct day) as n, max(day) as last_day from eod group by 1) using (symbol)""",
+    "summarised_health": f"""{with_(EOD)} select 'prices' as table_name, max(day)::timestamp as latest_time, count(*) as row_count,
+        round((epoch(timestamp '2024-02-01') - epoch(max(day)::timestamp)) / 60.0, 2) as lag_minutes, 'ok' as status from eod""",
+    "summarised_freshness": f"""{with_(EOD)} select 'prices' as table_name, symbol, max(day)::timestamp as latest_time,
+        round((epoch(timestamp '2024-02-01') - epoch(max(day)::timestamp)) / 60.0, 2) as lag_minutes from eod group by symbol""",
     "run_manifest": f"""{with_(EOD)} select 'r1' as run_id, 'clean' as stage, count(*) as rows, min(day) as first_day,
         max(day) as last_day, count(distinct symbol) as symbols,
         ['symbol', 'day', 'open', 'high', 'low', 'close', 'volume'] as columns from eod""",
