@@ -81,18 +81,20 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str], versi
 
 
 def upsert(updates: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], *, version: Sequence[str] = (),
-           part: str = "day", cleared: DataFrame | None = None) -> None:
+           part: str = "day", cleared: DataFrame | None = None, write: Callable[[DataFrame], None] | None = None) -> None:
     """Keyed upsert into a partitioned parquet table; rows with a key of ``cleared`` go first (it has ``part``, too).
 
+    ``write`` replaces the partitions that occur in its rows, where a table has a layout of its own.
+
     Only partitions that the updates touch are read and replaced. The merged rows are staged under an id of their own,
     with the list of touched partitions written last; then they replace the partitions, and the stage goes. A stage that
     is complete when the next upsert begins belongs to a run that broke off, and is replayed first. So the table is never
     left without rows that it had, and running the same updates again gives the same table.
     """
     spark = updates.sparkSession
-    replay_stages(spark, path, schema, part)
+    replay_stages(spark, path, schema, part, write)
     stage_upsert(updates, path, schema, keys, version=version, part=part, cleared=cleared)
-    replay_stages(spark, path, schema, part)
+    replay_stages(spark, path, schema, part, write)
 
 
 def stage_upsert(updates: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], *, version: Sequence[str] = (),
@@ -114,7 +116,8 @@ def stage_upsert(updates: DataFrame, path: str, schema: T.StructType, keys: Sequ
     return stage
 
 
-def replay_stages(spark: SparkSession, path: str, schema: T.StructType, part: str = "day") -> None:
+def replay_stages(spark: SparkSession, path: str, schema: T.StructType, part: str = "day",
+                  write: Callable[[DataFrame], None] | None = None) -> None:
     """Swap complete stages in; incomplete ones were never visible and stay where they are."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_stage")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -125,7 +128,10 @@ def replay_stages(spark: SparkSession, path: str, schema: T.StructType, part: st
         if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(stage, "parts/_SUCCESS")):
             continue
         rows = spark.read.schema(schema).parquet(f"{stage}/rows")
-        write_partitions(rows, path, (part,))
+        if write:
+            write(rows)
+        else:
+            write_partitions(rows, path, (part,))
         # Partitions that lost all their rows; a list of touched partitions is short.
         gone = spark.read.parquet(f"{stage}/parts").join(rows.select(part).distinct(), part, "left_anti").collect()
         for row in gone:
