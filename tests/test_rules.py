@@ -45,6 +45,30 @@ def test_signal_cases(spark):
     assert _signal(spark, 0.2, adx=10.0).trend_direction == "DOWN"
 
 
+def _review(spark, conf, label, quality, stale, level, turnover):
+    return de.human_review(spark.createDataFrame([(conf, label, quality, stale, level, turnover)],
+        "final_confidence double, risk_label string, quality double, stale_data boolean, conflict_level string, turnover_pct double")).first()
+
+
+def test_review_gate_cases(spark):
+    r = _review(spark, 0.74, "MEDIUM", 0.9, False, "LOW", None)
+    assert (r.requires_review, r.review_reasons) == (False, [])
+    r = _review(spark, 0.5, "HIGH", 0.6, True, "HIGH", None)
+    assert r.requires_review and r.review_reasons == ["LOW_CONFIDENCE", "HIGH_RISK", "DATA_QUALITY", "STALE_DATA", "CONFLICTING_SIGNALS"]
+    r = _review(spark, 0.8, "LOW", None, False, None, 30.0)
+    assert r.requires_review and r.review_reasons == ["PORTFOLIO_CONSTRAINT_VIOLATION"]
+
+
+def test_scorer_plugs_in(spark):
+    def scorer(frames):
+        for frame in frames:
+            yield frame.assign(score=frame["headline"].str.len() - 4.0)
+
+    news = spark.createDataFrame([("A", "up"), ("B", "long headline"), ("C", "four"), ("D", "")], "symbol string, headline string")
+    got = {r.symbol: r.score for r in nw.score_items(news, scorer).collect()}
+    assert got == {"A": -1.0, "B": 1.0, "C": 0.0, "D": -1.0}  # kept within [-1, 1]
+
+
 def _conflict(spark, label, stance, senti, value, horizon, rec, act):
     return de.conflicts(spark.createDataFrame([(label, stance, senti, value, horizon, rec, act, False, 1.0)],
         "risk_label string, market_stance string, sentiment_label string, valuation_label string, time_horizon string, "
