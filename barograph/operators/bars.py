@@ -69,19 +69,18 @@ def unpivot_tickers(wide: DataFrame, day: str, tickers: Sequence[str], fields: S
 def rebalance_days(bars: DataFrame, warmup: int, horizon: int) -> DataFrame:
     """First trading day of each month, after ``warmup`` trading days and with ``horizon`` days left.
 
-    Ranks run over the calendar (one row per day), not over bars.
+    The bars are read once; windows without a key run over the calendar (one row per day), not over bars.
     """
-    days = bars.select("day").distinct()
-    first = days.groupBy(F.trunc("day", "month").alias("month")).agg(F.min("day").alias("day"))
-    w = Window.orderBy("day")
-    ranked = days.select("day", F.row_number().over(w).alias("rank"))
-    total = ranked.agg(F.max("rank").alias("n"))
-    bounds = ranked.crossJoin(total).agg(
-        F.coalesce(F.max(F.when(F.col("rank") == warmup, F.col("day"))), F.max("day")).alias("first_valid"),
-        F.coalesce(F.max(F.when((F.col("n") > horizon) & (F.col("rank") == F.col("n") - horizon), F.col("day"))),
-                   F.max("day")).alias("last_valid"))
-    return (first.crossJoin(bounds).where(F.col("day").between(F.col("first_valid"), F.col("last_valid")))
-            .select("month", F.col("day").alias("rebalance_day")))
+    ordered = Window.orderBy("day")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = bars.select("day").distinct().select(
+        "day", F.row_number().over(ordered).alias("rank"), F.count(F.lit(1)).over(whole).alias("n"),
+        F.max("day").over(whole).alias("last"))
+    at = lambda place: F.coalesce(F.max(F.when(F.col("rank") == place, F.col("day"))).over(whole), F.col("last"))
+    bounded = ranked.select("day", at(F.lit(warmup)).alias("first_valid"), at(F.col("n") - horizon).alias("last_valid"))
+    months = bounded.groupBy(F.trunc("day", "month").alias("month")).agg(
+        F.min("day").alias("rebalance_day"), F.max("first_valid").alias("first_valid"), F.max("last_valid").alias("last_valid"))
+    return months.where(F.col("rebalance_day").between(F.col("first_valid"), F.col("last_valid"))).select("month", "rebalance_day")
 
 
 def as_of(facts: DataFrame, dates: DataFrame, date: str, values: Sequence[str], key: str = "symbol",

@@ -52,8 +52,7 @@ def decoded_market(spark, sf):
 
 
 def decoded_indicators(spark, sf):
-    rows = dc.known_time(dc.indicator_messages(_payloads(spark, sf, "Indicator"), NOW))
-    return _ntz(rows.select("ts", "indicator", "close", "volume", "partition", "offset"), "ts")
+    return _ntz(dc.known_time(dc.indicator_messages(_payloads(spark, sf, "Indicator"), NOW)), "ts", "etl_load")
 
 
 def decoded_news(spark, sf):
@@ -73,6 +72,11 @@ def silver_indicators(spark, sf):
     return rows.groupBy("indicator").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("close_position"), 6).alias("mean_position"))
 
 
+def silver_indicator_rows(spark, sf):
+    rows = ql.clean_intraday(dc.indicator_messages(_payloads(spark, sf, "Indicator"), NOW), "indicator", need_volume=False, now=NOW)
+    return _ntz(rounded(rows), "ts", "etl_load", "process_date")
+
+
 def silver_news(spark, sf):
     rows = ql.clean_news(dc.news_messages(_news_payloads(spark, sf), NOW), NOW)
     return _ntz(rows.select("ts", "symbol", "id", "category", F.md5("headline").alias("digest"), "source",
@@ -103,6 +107,10 @@ def raw_prices(spark, sf):
         F.count_if(F.col("volume") == 0).alias("no_volume"), F.avg("stock_splits").alias("mean_splits")))
 
 
+def raw_price_rows(spark, sf):
+    return _ntz(rounded(dc.raw_eod(_landed(spark, sf), now=NOW), adj_close=None), "etl_load")
+
+
 def clean_prices(spark, sf):
     rows = ql.clean_eod(dc.raw_eod(_landed(spark, sf), now=NOW), "2000-06-30", NOW)
     return rounded(rows.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum("daily_range").alias("ranges"),
@@ -197,6 +205,6 @@ def summarised_freshness(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    decoded_market, decoded_indicators, decoded_news, silver_market, silver_indicators, silver_news, rejected_market_rows,
-    raw_prices, clean_prices, price_history_gate, current_tickers, canonical_bars, typed_context, merged_prices, load_windows,
+    decoded_market, decoded_indicators, decoded_news, silver_market, silver_indicators, silver_indicator_rows, silver_news,
+    rejected_market_rows, raw_prices, raw_price_rows, clean_prices, price_history_gate, current_tickers, canonical_bars, typed_context, merged_prices, load_windows,
     table_state, run_manifest, prediction_preview, summarised_state, summarised_health, summarised_freshness)}

@@ -23,8 +23,8 @@ _WANT = "(select distinct p_brand as symbol from part union select p_type from p
 
 TWINS = {
     "decoded_market": f"""{with_(MSG)} select *, timestamp '2024-02-01' as etl_load from msg""",
-    "decoded_indicators": f"""{with_(MSG)} select ts, symbol as indicator, close, volume, partition, "offset" from msg
-        where ts is not null""",
+    "decoded_indicators": f"""{with_(MSG)} select * exclude (symbol), symbol as indicator, timestamp '2024-02-01' as etl_load
+        from msg where ts is not null""",
     "decoded_news": f"""{with_(NMSG)} select ts, symbol, event_timestamp, category, id, related, url, md5(headline) as digest,
         partition, "offset" from nm""",
     "silver_market": f"""{with_(MSG)} select ts, trim(symbol) as symbol, open, high, low, close, volume, dividends, stock_splits,
@@ -32,6 +32,9 @@ TWINS = {
         from msg where {_OK} and volume > 0""",
     "silver_indicators": f"""{with_(MSG)} select trim(symbol) as indicator, count(*) as rows,
         {r('avg(case when high > low then (close - low) / (high - low) end)')} as mean_position from msg where {_OK} group by 1""",
+    "silver_indicator_rows": f"""{with_(MSG)} select ts, trim(symbol) as indicator, open, high, low, close, volume, dividends,
+        stock_splits, {r('high - low')} as daily_range, {r('case when high > low then (close - low) / (high - low) end')}
+          as close_position, timestamp '2024-02-01' as etl_load, timestamp '2024-02-01' as process_date from msg where {_OK}""",
     "silver_news": f"""{with_(NMSG)} select ts, trim(symbol) as symbol, id, lower(trim(category)) as category,
         md5(trim(headline, ' ')) as digest, 'wire' as source, md5(regexp_replace(trim(summary, ' '), '\\s+', ' ', 'g'))
           as summary_digest, url from nm where length(trim(headline)) > 0""",
@@ -42,6 +45,8 @@ TWINS = {
     "raw_prices": f"""{with_(LAND)} select symbol, 'yfinance' as source, count(*) as rows, count(open) as opens,
         sum(volume)::bigint as volume, count(*) filter (where volume = 0) as no_volume, {r('avg(stock_splits)')} as mean_splits
         from land group by 1""",
+    "raw_price_rows": f"""{with_(LAND)} select day, symbol, open, high, low, close, close as adj_close, volume, 0.0::double as dividends,
+        {r('stock_splits')} as stock_splits, 'yfinance' as source, timestamp '2024-02-01' as etl_load from land""",
     "clean_prices": f"""{with_(LAND)} select symbol, day, count(*) as rows, {r('sum(high - low)')} as ranges,
         {r('avg(case when high > low then (close - low) / (high - low) end)')} as mean_position from land
         where day <= date '2000-06-30' and open > 0 and low > 0 and close > 0 and high >= low group by 1, 2""",
