@@ -64,6 +64,8 @@ def copies(docs: DataFrame, seed: int = 0, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every document; with carry, the whole row as struct `row`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"),
                        *([F.struct(*docs.columns).alias("row")] if carry else []))
+    if not carry:  # the range partitioning samples its input first; words are counted once for both passes
+        rows = staged(rows, "mixing-sizes")
     rows = rows.withColumn("tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("tie")]
     laid_out = rows.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id")
