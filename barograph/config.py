@@ -38,12 +38,14 @@ class TradeRules:
 
 @dataclass(frozen=True)
 class RequestCaps:
+    # fixed values: limits of a request
     max_symbols: int = 25
     max_days: int = 365
 
 
 @dataclass(frozen=True)
 class PortfolioRules:
+    # fixed values: defaults of an account's constraints
     max_weight: float = 40.0
     min_cash: float = 0.0
     excluded: tuple[str, ...] = ()

@@ -152,6 +152,7 @@ def source_quality(sections: DataFrame) -> DataFrame:
                       + 0.15 * F.col("reliability"))
     scores = scores.withColumn("quality", total)
     q, f = F.col("quality"), F.col("freshness")
+    # fixed values: shares, limits and texts of the warnings
     return scores.select(
         "*", F.when((f < 0.6) | (q < 0.6), 0.55).when(q < 0.7, 0.65).otherwise(0.9).alias("quality_cap"),
         half_even(F.least(F.lit(0.0), (q - 1.0) * 0.2)).alias("quality_adjustment"),
@@ -191,6 +192,7 @@ def conflicts(rows: DataFrame) -> DataFrame:
     bull = F.coalesce(F.col("market_stance") == "BULLISH", F.lit(False))
     over = F.coalesce(F.col("valuation_label") == "OVERVALUED", F.lit(False))
     stale, q = F.col("stale_data"), F.col("quality")
+    # fixed values: texts of the conflicts, in their order
     found = _present([
         F.when(risky & bull, "Risk is high while market or ML signals are bullish."),
         F.when(risky & over, "Valuation is overvalued while risk is high."),
