@@ -12,8 +12,8 @@ from barograph.config import NewsRules
 # fixed values: reference strings of the news sources and of the scoring model
 SOURCE_REFS = {"yfinance": "yfinance.news", "finnhub": "finnhub.company_news"}
 SCORER_REF = "finbert:ProsusAI/finbert"
-# fixed value: punctuation that is cut off words
-_STRIP = ".,:;!?()[]{}\"'"
+# fixed values: length of the pieces by which long lists of aliases are looked up, and the aliases of a short list
+_PIECE, _FEW_ALIASES = 6, 32
 
 
 def daily_news(news: DataFrame) -> DataFrame:
@@ -95,12 +95,28 @@ def story_text(news: DataFrame) -> Column:
 
 
 def relevant(news: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
-    """Keep items whose text has an alias of the symbol as a word or as a part. Aliases are a small dimension."""
-    names = aliases.groupBy("symbol").agg(F.collect_set(F.lower("alias")).alias("_names"))
-    words = F.transform(F.split(F.col(text), r"\s+"), lambda t: F.lower(F.btrim(t, F.lit(_STRIP))))
-    low = F.lower(text)
-    hit = F.exists("_names", lambda a: (F.length(a) > 0) & (low.contains(a) | F.array_contains(words, a)))
-    return news.join(names, "symbol").where(hit).drop("_names")
+    """Keep items whose text has an alias of the symbol as a word or as a part. Aliases are a small dimension.
+
+    A word is a part of the text, so parts decide. A text is lowered once and searched for a few aliases one by one. For
+    more, its own pieces (runs of ``_PIECE`` characters inside its distinct words) are first met with the aliases' pieces as
+    sets, and only aliases whose piece is there are searched, so a text does not cost its length times all aliases.
+    """
+    lowered = aliases.select("symbol", F.lower("alias").alias("_alias")).where(F.length("_alias") > 0).distinct()
+    piece = F.col("_piece")
+    names = lowered.withColumn("_piece", F.nullif(F.regexp_extract("_alias", rf"\S{{{_PIECE}}}", 0), F.lit(""))).groupBy("symbol").agg(
+        F.collect_list(F.when(piece.isNull(), F.col("_alias"))).alias("_short"),
+        F.collect_list(F.when(piece.isNotNull(), F.struct("_alias", "_piece"))).alias("_long"), F.collect_set(piece).alias("_pieces"))
+
+    def hit(low: Column) -> Column:
+        words = F.array_distinct(F.filter(F.split(low, r"\s+"), lambda w: F.length(w) >= _PIECE))
+        own = F.regexp_extract_all(F.array_join(words, " "), F.lit(rf"(?=(\S{{{_PIECE}}}))"), F.lit(1))
+        met = F.array(F.array_intersect("_pieces", own))
+        return F.exists("_short", lambda a: low.contains(a)) | F.when(
+            F.size("_long") <= _FEW_ALIASES, F.exists("_long", lambda a: low.contains(a["_alias"]))).otherwise(
+            F.exists(met, lambda m: F.exists("_long", lambda a: F.array_contains(m, a["_piece"]) & low.contains(a["_alias"]))))
+
+    # What a lambda takes in from outside is evaluated for every element; arrays of one element bind it once a row.
+    return news.join(names, "symbol").where(F.exists(F.array(F.lower(text)), hit)).drop("_short", "_long", "_pieces")
 
 
 def newest_items(news: DataFrame, rules: NewsRules = NewsRules()) -> DataFrame:

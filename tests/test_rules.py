@@ -1,5 +1,7 @@
 """Fixed cases of the decision rules, alerts, portfolios, news and tables."""
 
+import random
+import time
 from datetime import date, datetime
 
 import pytest
@@ -136,6 +138,29 @@ def test_source_quality_cases(spark):
     assert (r.freshness, r.relevance, r.reliability, r.completeness, r.quality_cap, cited) == (0.0, 0.5, 0.5, 0.0, 0.55, [])
 
 
+def test_relevance_with_long_lists_of_aliases(spark):
+    """Same items as a search for every alias, and a text costs no pass for each alias."""
+    draw = random.Random(5)
+    letters = "abAß \u00e9\U0001F600."
+    text = ["".join(draw.choices(letters, k=draw.randrange(60))) for _ in range(300)] + [None, "", "One two  threefold", "ONE\ttwo three"]
+    alias = {"few": ["".join(draw.choices(letters, k=draw.randrange(9))) for _ in range(8)] + [None, "", "two  three"],
+             "many": ["".join(draw.choices(letters, k=draw.randrange(5, 12))) for _ in range(400)] + [None, "", "e two  threefo", "ne\tt"]}
+    names = spark.createDataFrame([(s, a) for s, v in alias.items() for a in v] + [(None, "a")], "symbol string, alias string")
+    rows = spark.createDataFrame([(s, i, t) for s in [*alias, "none", None] for i, t in enumerate(text)] + [("many", 302, text[302])],
+                                 "symbol string, id int, text string")
+    want = [(s, i) for s, v in alias.items() for i, t in enumerate(text) if t and any(a and a.lower() in t.lower() for a in v)]
+    got = nw.relevant(rows, names)
+    assert got.columns == ["symbol", "id", "text"]
+    assert sorted((r.symbol, r.id) for r in got.collect()) == sorted(want + [("many", 302)])
+    assert 0 < len(want) < 500 and ("many", 302) in want and ("many", 303) in want
+    names = spark.range(3000).selectExpr("'S' as symbol", "concat('q', substr(md5(cast(id as string)), 1, 9)) as alias")
+    rows = spark.range(400).selectExpr("'S' as symbol", "id", "repeat(concat('plain words of text ', id, ' '), 500) as text")
+    started = time.time()
+    assert nw.relevant(rows, names).count() == 0
+    assert time.time() - started < 30
+    assert nw.relevant(rows, names.union(spark.createDataFrame([("S", "text 41 plain")], names.schema))).first().id == 41
+
+
 def test_news_relevance_and_merge(spark):
     names = spark.createDataFrame([("AAPL", a) for a in ("AAPL", "apple", "apple inc")], "symbol string, alias string")
     text = ["Apple launches new chips", "AAPL shares rise", "Broad market rallies"]
