@@ -135,10 +135,11 @@ def source_quality(sections: DataFrame) -> DataFrame:
     """
     here = F.col("present")
     refs = sections.withColumn("source_refs", F.when(here, F.col("source_refs")).otherwise(F.array().cast("array<string>")))
+    # Every text is folded once, not again for each symbol or prefix that it is compared with.
     refs = refs.withColumn("is_stale", F.when(here, F.col("is_stale"))).select("*", F.expr(
-        "size(filter(source_refs, r -> exists(symbols, s -> contains(upper(r), s))))").alias("_rel"), F.expr(
-        "size(filter(source_refs, r -> " + " or ".join(f"startswith(lower(r), '{p}')" for p in TRUSTED_PREFIXES) + "))")
-        .alias("_trust"))
+        "size(filter(transform(source_refs, r -> upper(r)), r -> exists(symbols, s -> contains(r, s))))").alias("_rel"), F.expr(
+        "size(filter(transform(source_refs, r -> lower(r)), r -> " + " or ".join(f"startswith(r, '{p}')" for p in TRUSTED_PREFIXES)
+        + "))").alias("_trust"))
     agg = refs.groupBy("request_id").agg(
         F.avg((~F.col("is_stale")).cast("double")).alias("_f"), F.sum(F.size("source_refs")).alias("_refs"),
         F.sum("_rel").alias("_rel"), F.sum("_trust").alias("_trust"), F.try_divide(F.sum("found"), F.sum("wanted")).alias("_c"),

@@ -50,8 +50,9 @@ def _brand_valuation(spark, sf):
     return rows.select(F.col("p_brand").alias("symbol"), "v.*", F.lit(False).alias("valuation_stale"))
 
 
-def _request_rows(spark, sf):
+def _request_rows(spark, sf, positions=None):
     """One row per request and symbol with every context section; the newest day covers only some brands."""
+    positions = st.positions(spark, sf) if positions is None else positions
     ctx = sv.at_latest_day(_context(spark, sf))
     s = sg.market_stance(sg.symbol_signals(ctx).withColumn("has_ml", F.lit(True))).select(
         "symbol", "stance", "market_confidence", "probability_up", "probability_down", "risk_label", "confidence_cap",
@@ -59,7 +60,7 @@ def _request_rows(spark, sf):
     senti = cx.sentiment(spark, sf).select(
         F.replace("symbol", F.lit("src"), F.lit("Brand#")).alias("symbol"), "sentiment_label", "sentiment_score",
         (F.col("latest_article_published_at") < F.lit("2024-02-15").cast("timestamp")).alias("sentiment_stale"))
-    rows = _requests(spark, sf).join(st.positions(spark, sf).select(F.col("account_id").alias("request_id"), "symbol"), "request_id")
+    rows = _requests(spark, sf).join(positions.select(F.col("account_id").alias("request_id"), "symbol"), "request_id")
     rows = rows.join(s, "symbol", "left").join(senti, "symbol", "left").join(_brand_valuation(spark, sf), "symbol", "left")
     # Five roll-ups read these rows.
     return materialized(rows.withColumn("has_market", F.col("_m").isNotNull()).withColumn("has_ml", F.col("has_market")).drop("_m"))
@@ -73,13 +74,13 @@ def _holdings(spark, sf):
     return pf.holdings(st.positions(spark, sf))
 
 
-def _risk(spark, sf, rows):
-    held = _holdings(spark, sf).select(F.col("account_id").alias("request_id"), "symbol", "weight", F.lit(12.0).alias("max_weight"))
+def _risk(rows, positions):
+    held = pf.holdings(positions).select(F.col("account_id").alias("request_id"), "symbol", "weight", F.lit(12.0).alias("max_weight"))
     return de.risk_rollup(rows, held.where("request_id % 7 <> 0"))
 
 
 def risk_rollup(spark, sf):
-    return rounded(_risk(spark, sf, _request_rows(spark, sf)))
+    return rounded(_risk(_request_rows(spark, sf), st.positions(spark, sf)))
 
 
 def sentiment_rollup(spark, sf):
@@ -90,11 +91,11 @@ def valuation_rollup(spark, sf):
     return rounded(de.valuation_rollup(_request_rows(spark, sf)))
 
 
-def _sections(rows):
-    """The six sections of every request; it lists at most the universe of brands. Every seventh request has no portfolio."""
+def _references(rows):
+    """One row per request with the references of its sections; it lists at most the universe of brands."""
     refs = lambda prefix, key, have: F.array_sort(F.collect_list(F.when(have, F.concat(F.lit(prefix), F.col(key).cast("string")))))
     has_s, has_v = F.col("sentiment_label").isNotNull(), F.col("valuation_label").isNotNull()
-    agg = rows.groupBy("request_id", "decision_mode").agg(
+    return rows.groupBy("request_id", "decision_mode").agg(
         F.collect_list(F.upper("symbol")).alias("symbols"), F.count(F.lit(1)).alias("wanted"),
         refs("ml_ready.stock_price_features:", "symbol", F.col("has_market")).alias("r1"), F.count_if("has_market").alias("f1"),
         refs("ml.predictions:", "symbol", F.col("has_ml")).alias("r4"), F.count_if("has_ml").alias("f4"),
@@ -102,11 +103,15 @@ def _sections(rows):
         refs("finbert.news:", "symbol", has_s).alias("r2"), F.count_if(has_s).alias("f2"),
         F.coalesce(F.max("sentiment_stale"), F.lit(False)).alias("s2"),
         refs("yfinance.fundamentals:", "part", has_v).alias("r3"), F.count_if(has_v).alias("f3"))
+
+
+def _sections(references):
+    """The six sections of every request. Every seventh request has no portfolio."""
     part = lambda name, refs_, found, stale, wanted=F.col("wanted"), present=None: F.struct(
         F.lit(name).alias("section"), (found > 0 if present is None else present).alias("present"), refs_.alias("source_refs"),
         wanted.cast("long").alias("wanted"), found.cast("long").alias("found"), stale.alias("is_stale"))
     held, mode = F.col("request_id") % 7 != 0, F.col("decision_mode") == "portfolio_recommendation"
-    return agg.select("request_id", "symbols", F.inline(F.array(
+    return references.select("request_id", "symbols", F.inline(F.array(
         part("market_features", F.col("r1"), F.col("f1"), F.lit(False)),
         part("ml_predictions", F.col("r4"), F.col("f4"), F.lit(False)),
         part("sentiment_snapshot", F.col("r2"), F.col("f2"), F.col("s2")),
@@ -117,13 +122,15 @@ def _sections(rows):
 
 
 def source_quality(spark, sf):
-    return rounded(de.source_quality(_sections(_request_rows(spark, sf))))
+    return rounded(de.source_quality(_sections(_references(_request_rows(spark, sf)))))
 
 
 def _decisions(spark, sf):
-    rows = _request_rows(spark, sf)
-    out, sections = _requests(spark, sf), _sections(rows)
-    for part in (de.market_rollup(rows), _risk(spark, sf, rows), de.sentiment_rollup(rows), de.valuation_rollup(rows),
+    # The rows and the risk section read the positions, and two operators the sections; each is made once.
+    positions = materialized(st.positions(spark, sf))
+    rows = _request_rows(spark, sf, positions)
+    out, sections = _requests(spark, sf), _sections(materialized(_references(rows)))
+    for part in (de.market_rollup(rows), _risk(rows, positions), de.sentiment_rollup(rows), de.valuation_rollup(rows),
                  de.source_quality(sections), de.citations(sections)):
         out = out.join(part, "request_id")
     return de.human_review(de.confidence(de.conflicts(out)))
